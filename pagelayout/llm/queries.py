@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, folds, language_id, quality_rules, sharding
+from . import bpe, decontaminate, folds, language_id, quality_rules, sharding
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -18,6 +18,19 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", *(f"found.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio", "n_chunks", "n_low_chunks", "n_high_chunks")))
 
 
+def vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> bpe.Vocabulary:
+    import public_tokenizers
+
+    return bpe.Vocabulary.load(public_tokenizers.path(name), public_tokenizers.PATTERN)
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = vocabulary()
+    coded = bpe.encode(read(spark, sf_dir, "documents", "doc_id", "text"), words, name="coded").select("doc_id", F.col("coded.ids").alias("ids"))
+    back = bpe.decode(coded, words, "ids", "decoded")
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = decontaminate.decontaminate(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark"), name="found")
     found = F.col("found")
@@ -36,6 +49,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(read(spark, sf_dir, "documents", "doc_id", "text"), 8)
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op5_decontamination, op8_language_id, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_byte_bpe, op5_decontamination, op8_language_id, op10_sharding)}
 
 ORACLES: dict[str, str] = {}

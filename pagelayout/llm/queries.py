@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, folds, language_id, quality_rules, sharding
+from . import bpe, decontaminate, folds, language_id, pu_quality, quality_rules, sharding, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -37,6 +37,23 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "found.n_words", "found.n_hit", F.size("found.items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "found.items"), 256).alias("items_sha256"), decontaminate.contaminated(found).alias("contaminated"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = folds.in_fold(F.col("doc_id"), 4, 2)
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    trusted = read(spark, sf_dir, "labels", "doc_id", "quality").where((F.col("quality") == 1) & ~held_out)
+    model = pu_quality.train(docs, trusted, ~held_out)
+    found = pu_quality.score(docs, model, name="found")
+    return found.select("doc_id", held_out.alias("held_out"), F.col("found.score").alias("score"), (F.col("found.score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = folds.in_fold(F.col("doc_id"), 3, 1)
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    model = toxicity.train(docs, read(spark, sf_dir, "labels", "doc_id", "toxic"), ~held_out)
+    found = toxicity.score(docs, model, name="found")
+    return found.select("doc_id", held_out.alias("held_out"), F.col("found.score").alias("score"), (F.col("found.score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = folds.in_fold(F.col("doc_id"), 5, 0)
     docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang")
@@ -49,6 +66,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(read(spark, sf_dir, "documents", "doc_id", "text"), 8)
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_byte_bpe, op5_decontamination, op8_language_id, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_byte_bpe, op5_decontamination, op6_quality_classifier, op7_toxicity, op8_language_id, op10_sharding)}
 
 ORACLES: dict[str, str] = {}

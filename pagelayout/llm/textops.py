@@ -33,8 +33,9 @@ SPACE_WORDS = byte_class(bytes([0x20, *range(0x09, 0x0E)]))
 #: `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` (taken after A-Z became a-z)
 ALNUM_WORDS = byte_class(bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+#: Byte -> the byte with A-Z lower-cased.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +123,7 @@ def words(raw: np.ndarray, bounds: np.ndarray, table: np.ndarray, lower: bool =
         e = np.flatnonzero(inside & ~after) + 1
         power, inverse = _power_tables(len(part))
         total = np.zeros(len(part) + 1, dtype=np.uint64)
-        code = (_LOWER[part] if lower else part).astype(np.uint64)
+        code = (LOWER[part] if lower else part).astype(np.uint64)
         code += np.uint64(1)
         code *= power[: len(part)]
         np.cumsum(code, out=total[1:])

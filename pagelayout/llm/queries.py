@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, folds, language_id, pu_quality, quality_rules, secrets, sharding, toxicity
+from . import bpe, decontaminate, folds, language_id, pu_quality, quality_rules, secrets, sharding, toxicity, url_filter
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -31,6 +31,14 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+URL_RULES = [url_filter.Rule(h, p, v) for h, p, v in (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = url_filter.filter_urls(read(spark, sf_dir, "pages", "page_id", "url"), URL_RULES, name="judged")
+    return pages.select("page_id", *(f"judged.{c}" for c in ("host", "path", "rule", "verdict", "score")))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = decontaminate.decontaminate(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark"), name="found")
     found = F.col("found")
@@ -73,7 +81,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(read(spark, sf_dir, "documents", "doc_id", "text"), 8)
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_byte_bpe, op5_decontamination, op6_quality_classifier, op7_toxicity, op8_language_id, op9_secret_scans, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_byte_bpe, op4_url_filter, op5_decontamination, op6_quality_classifier, op7_toxicity, op8_language_id, op9_secret_scans, op10_sharding)}
 
 
 def _sql(text: str) -> str:

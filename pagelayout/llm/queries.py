@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, folds, language_id, pu_quality, quality_rules, secrets, sharding, toxicity, url_filter
+from . import bpe, decontaminate, folds, jaccard_join, language_id, pu_quality, quality_rules, secrets, sharding, toxicity, url_filter
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -13,6 +13,10 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = quality_rules.quality_rules(read(spark, sf_dir, "documents", "doc_id", "text"), name="found")
     return docs.select("doc_id", *(f"found.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio", "n_chunks", "n_low_chunks", "n_high_chunks")))
@@ -81,7 +85,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(read(spark, sf_dir, "documents", "doc_id", "text"), 8)
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_byte_bpe, op4_url_filter, op5_decontamination, op6_quality_classifier, op7_toxicity, op8_language_id, op9_secret_scans, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_quality_rules, op3_byte_bpe, op4_url_filter, op5_decontamination, op6_quality_classifier, op7_toxicity, op8_language_id, op9_secret_scans, op10_sharding)}
 
 
 def _sql(text: str) -> str:
@@ -133,4 +137,16 @@ SELECT dw.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_ite
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM dw LEFT JOIN nh USING (doc_id) LEFT JOIN it USING (doc_id)"""
 
-ORACLES: dict[str, str] = {"op5_decontamination": _DECONTAMINATION_ORACLE, "op9_secret_scans": _secrets_oracle(), "op10_sharding": _SHARDING_ORACLE}
+_JACCARD_ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+n AS (SELECT doc_id, w, least(5, len(w)) AS k FROM w WHERE len(w) > 0),
+p AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM n),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + k - 1], ' ') AS g FROM p),
+c AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id JOIN c ca ON ca.doc_id = a.doc_id JOIN c cb ON cb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, ca.n, cb.n HAVING 100 * count(*) >= 75 * (ca.n + cb.n - count(*))),
+r AS (SELECT a AS node, b AS other FROM l UNION SELECT r.node, l.b FROM r JOIN l ON r.other = l.a)
+SELECT d.doc_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(m.m, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN c USING (doc_id) LEFT JOIN (SELECT node, min(other) AS m FROM r GROUP BY node) m ON m.node = d.doc_id"""
+
+ORACLES: dict[str, str] = {"op1_jaccard_join": _JACCARD_ORACLE, "op5_decontamination": _DECONTAMINATION_ORACLE, "op9_secret_scans": _secrets_oracle(), "op10_sharding": _SHARDING_ORACLE}

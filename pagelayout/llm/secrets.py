@@ -12,9 +12,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .annotate import free_name
+from .store import Scratch
 
 SPAN = "array<struct<start:int,kind_order:int,kind:string,end:int>>"
 
@@ -78,14 +78,10 @@ def scan(blobs: DataFrame, text: str, rules: tuple[Rule, ...] = RULES) -> Column
     return F.array_sort(F.concat(*(rule_spans(F.col(text), r, i) for i, r in enumerate(rules))))
 
 
-def empty_ledger(spark) -> DataFrame:
-    return spark.createDataFrame([], T.StructType([T.StructField("blob", T.StringType()), T.StructField("rule_version", T.StringType())])).withColumn("spans", F.array().cast(SPAN))
-
-
 def update_ledger(versions: DataFrame, ledger: DataFrame | None, text: str = "text", rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> DataFrame:
     """The entries (blob, rule_version, spans) that the ledger lacks for the contents of `versions`.
 
-    Append them to the ledger once a scan is over. A null text is the empty blob.
+    A null text is the empty blob.
     """
     content = F.coalesce(F.col(text).cast("string"), F.lit(""))
     blobs = versions.select(F.sha2(content, 256).alias("blob"), content.alias("content"))
@@ -97,16 +93,25 @@ def update_ledger(versions: DataFrame, ledger: DataFrame | None, text: str = "te
     return unseen.select("blob", F.lit(rule_version).alias("rule_version"), scan(unseen, "content", rules).alias("spans"))
 
 
-def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, text: str = "text", name: str = "secrets", rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> DataFrame:
+def scan_versions(versions: DataFrame, ledger: str | None = None, text: str = "text", name: str = "secrets", rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> DataFrame:
     """`versions` (any columns: path, version, ...) with `name`, the array of spans found in `text`.
 
-    `ledger` has columns blob, rule_version and spans; only blobs that it lacks are
-    read by the rules. Null and empty texts have no spans. Rows come back as often
-    as they came, whatever copies there are.
+    `ledger` is the path of a Parquet table with columns blob, rule_version and spans,
+    which may not exist yet; only blobs that it lacks are read by the rules, and their
+    entries are appended to it before findings are joined back. A scan that is cut off
+    loses at most its own entries; one run twice finds nothing new. Without a path the
+    ledger is a table of this call. Null and empty texts have no spans. Rows come back
+    as often as they came, whatever copies there are.
     """
-    entries = update_ledger(versions, ledger, text, rules, rule_version)
-    if ledger is not None:
-        entries = entries.unionByName(ledger.where(F.col("rule_version") == rule_version).select("blob", "rule_version", "spans"))
+    spark = versions.sparkSession
+    if ledger is None:
+        ledger = f"{Scratch(spark, 'secrets').root}/ledger"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ledger)
+    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    schema = f"blob string, rule_version string, spans {SPAN}"
+    known = spark.read.schema(schema).parquet(ledger) if there else None
+    update_ledger(versions, known, text, rules, rule_version).write.mode("append").parquet(ledger)
+    entries = spark.read.schema(schema).parquet(ledger).where(F.col("rule_version") == rule_version)
     # blobs without findings need no partner: most paths then meet nothing
     found = entries.where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
     out, key = free_name(versions, name), free_name(versions, "_content")

@@ -2,8 +2,9 @@
 
 A document is its set of hashed 5-word shingles. Two sets of Jaccard similarity
 t or more share a token among the first n - ceil(t * n) + 1 of each, in ANY one
-global order of the tokens. Candidates come from a rare-first order and must
-pass the same test in two further orders before their sets are compared.
+global order of the tokens; and where sizes are alike, many. Candidates come
+from a rare-first order and must pass the prefix test in two further orders
+before their sets are compared.
 
 Only connectivity is asked for, so links inside a group that already hangs
 together are not looked for again:
@@ -11,14 +12,15 @@ together are not looked for again:
 1. sets are reduced to one per distinct set;
 2. token frequencies, over all documents, give the rare-first order;
 3. prefix tokens that nobody else has drop out; what is left is small;
-4. star rounds: in each posting, everyone is compared with one central set, and
-   the links found merge sets into partial components;
-5. whatever still shares a prefix token across partial components is compared in
-   full, a set against all members of the other component, in blocks.
-
-A pair of linked sets either ends in one partial component or meets in step 5,
-so no link between components is lost, and no posting is ever paired with itself
-row by row.
+4. rare tokens (of a few sets) give pairs, kept if they share enough tokens;
+5. frequent tokens give stars: in each posting, everyone is compared with one
+   central set, and the links found merge sets into partial components;
+6. whatever still shares a frequent prefix token across partial components is
+   compared in full, a set against all members of the other one, in blocks.
+
+Two linked sets that share a rare prefix token are compared in step 4. Two that
+share frequent ones alone end in one partial component or meet in step 6. So no
+link between components is lost, and no long posting is paired with itself.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -39,7 +41,7 @@ SHINGLE_WORDS = 5
 #: Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: A token of as many documents counts as frequent; frequent ones come last, by frequency.
-FREQUENT = 16
+FREQUENT = 8
 #: Frequent tokens kept at most (12 bytes each, sent to executors): beyond it the mark above rises.
 MAX_FREQUENT = 1_000_000
 #: Tokens that one counting task takes in, and that a map task holds before it passes them on.
@@ -173,7 +175,7 @@ def _describe(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _entries(docs: DataFrame, k: int, percent: int, orders, n_tokens: int, scratch: Scratch) -> DataFrame:
-    """(token, sid, n): prefix tokens in the first order that two sets or more have.
+    """(token, sid, n, frequent): prefix tokens in the first order that two sets or more have.
 
     Rows travel packed, cut by the token's leading bits as for counting, and each cut
     keeps the tokens of several sets. A frequent token is taken as shared; its rows
@@ -227,20 +229,20 @@ def _entries(docs: DataFrame, k: int, percent: int, orders, n_tokens: int, scrat
                 x[0].append(y[: rows - frequent])
                 x[1].append(y[rows - frequent :])
         out = []
-        for tokens, sid, n, all_shared in zip((rare, often), sids, sizes, (False, True), strict=True):
+        for tokens, sid, n, frequent in zip((rare, often), sids, sizes, (False, True), strict=True):
             t, s, m = np.concatenate(tokens), np.concatenate(sid), np.concatenate(n)
             order = np.lexsort((s, t))
             t, s, m = t[order], s[order], m[order]
             fresh = np.concatenate([[True], (t[1:] != t[:-1]) | (s[1:] != s[:-1])])[: len(t)]
             t, s, m = t[fresh], s[fresh], m[fresh]
             same = np.concatenate([[False], t[1:] == t[:-1], [False]])
-            kept = (same[1:] | same[:-1])[: len(t)] if not all_shared else np.ones(len(t), dtype=bool)
-            out.append((t[kept], s[kept], m[kept]))
-        token, sid, n = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.table({"token": pa.array(token.view(np.int64)), "sid": pa.array(sid), "n": pa.array(n.astype(np.int32))})
+            kept = np.ones(len(t), dtype=bool) if frequent else (same[1:] | same[:-1])[: len(t)]
+            out.append((t[kept], s[kept], m[kept], np.full(int(kept.sum()), frequent)))
+        token, sid, n, flag = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.table({"token": pa.array(token.view(np.int64)), "sid": pa.array(sid), "n": pa.array(n.astype(np.int32)), "frequent": pa.array(flag)})
 
     parts = docs.mapInArrow(run, "part int, token binary, sid binary, n binary")
-    return scratch.save(parts.groupBy("part").applyInArrow(keep, "token long, sid long, n int"), "entries")
+    return scratch.save(parts.groupBy("part").applyInArrow(keep, "token long, sid long, n int, frequent boolean"), "entries")
 
 
 def _membership(live: DataFrame) -> tuple[int, np.ndarray]:
@@ -341,59 +343,106 @@ def _links(members: DataFrame, spokes: DataFrame, sets: DataFrame, percent: int)
     return both.mapInArrow(run, "a long, b long")
 
 
-def _fits(n: str, least: str, most: str, percent: int):
+def _fits(n: str, least: str, most: str, percent: int) -> Column:
     return (F.col(n) * 100 >= F.col(least) * percent) & (F.col(most) * 100 >= F.col(n) * percent)
 
 
+def _least_shared(n: str, m: str, percent: int) -> Column:
+    """How many prefix tokens two linked sets of n and m tokens share at least.
+
+    What they have in common lies in the prefix that ends first, but for the rest of
+    that set: the overlap is at most the shared prefix tokens and n less its prefix.
+    """
+    need = F.expr(f"({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent}")
+    rest = F.greatest(*(F.expr(f"({percent} * {x} + 99) div 100 - 1") for x in (n, m)))
+    return F.greatest(F.lit(1), need - rest)
+
+
+def _rare_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """(hub, hub_n, sid, n): pairs that share rare prefix tokens, and enough of them.
+
+    A rare token has fewer than FREQUENT sets, so its pairs are few. Frequent tokens
+    are not paired here: as many as the two could share are taken for granted.
+    """
+    rare = entries.where("NOT frequent").select("token", "sid", "n")
+    often = entries.where("frequent").groupBy(F.col("sid").alias("x")).agg(F.count("*").alias("f"))
+    other = rare.select("token", F.col("sid").alias("hub"), F.col("n").alias("hub_n"))
+    pairs = rare.join(other, "token").where((F.col("hub") < F.col("sid")) & _fits("n", "hub_n", "hub_n", percent))
+    pairs = pairs.groupBy("hub", "sid").agg(F.first("hub_n").alias("hub_n"), F.first("n").alias("n"), F.count("*").alias("shared"))
+    pairs = pairs.join(often.withColumnsRenamed({"x": "hub", "f": "hub_f"}), "hub", "left").join(often.withColumnRenamed("x", "sid"), "sid", "left")
+    bound = F.col("shared") + F.least(F.coalesce("hub_f", F.lit(0)), F.coalesce("f", F.lit(0)))
+    return pairs.where(bound >= _least_shared("n", "hub_n", percent)).select("hub", "hub_n", "sid", "n")
+
+
 def _join(docs: DataFrame, k: int, percent: int, n_tokens: int, scratch: Scratch) -> DataFrame | None:
     """(node, root) of sets that link with other sets; None where none do."""
     spark = docs.sparkSession
     orders = spark.sparkContext.broadcast(_frequent(docs, k, n_tokens, scratch))
     scratch.drop("frequent")
     entries = _entries(docs, k, percent, orders, n_tokens, scratch)
-    live = scratch.save(entries.groupBy("sid").agg(F.count("*").alias("shared"), F.first("n").alias("n")), "live")
+    rare = scratch.save(_rare_pairs(entries, percent), "rare")
+    often = scratch.save(entries.where("frequent").select("token", "sid", "n"), "often")
+    scratch.drop("entries")
+    # sets made of frequent tokens to a good part, with the number of such tokens
+    dense = scratch.save(often.groupBy("sid").agg(F.count("*").alias("shared"), F.first("n").alias("n")), "dense")
+    live = scratch.save(rare.select("sid").union(rare.select("hub")).union(dense.select("sid")).distinct(), "live")
     if live.isEmpty():
         return None
     sets = _live_sets(docs, live, k, percent, orders, scratch)
     links, roots = None, None
 
+    def compared(spokes: DataFrame, hubs: DataFrame, name: str) -> bool:
+        """Add the links found to `links`, and the components they make to `roots`."""
+        nonlocal links, roots
+        new = scratch.save(_links(hubs, spokes, sets, percent), f"links-{name}")
+        if new.isEmpty():
+            return False
+        links = new if links is None else links.union(new)
+        roots = scratch.save(connected_components(links, scratch, f"parts-{name}"), f"roots-{name}")
+        return True
+
+    def own_hubs(spokes: DataFrame) -> DataFrame:
+        return spokes.select("hub", F.col("hub").alias("sid"), F.col("hub_n").alias("n")).distinct()
+
+    def members() -> DataFrame:
+        """(sid, n, shared, comp) of the dense sets."""
+        of = dense if roots is None else dense.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left")
+        return of.select("sid", "n", "shared", (F.col("sid") if roots is None else F.coalesce("root", "sid")).alias("comp"))
+
     def placed() -> DataFrame:
         """Entries with their partial component and its size, of tokens that several components have."""
-        of = live if roots is None else live.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left")
-        of = of.select("sid", "shared", (F.col("sid") if roots is None else F.coalesce("root", "sid")).alias("comp"))
+        of = members().drop("n")
         sizes = of.groupBy("comp").agg(F.count("*").alias("size"))
-        rows = entries.join(of.join(sizes, "comp"), "sid")
+        rows = often.join(of.join(sizes, "comp"), "sid")
         split = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
         return rows.join(split, "token")
 
+    compared(rare.select("hub", "sid", "n"), own_hubs(rare), "rare")
     for r in range(STAR_ROUNDS):
         # first the set that shares most, likely the one the others derive from; then members of the largest component
         rank = F.struct("shared", "sid") if r == 0 else F.struct("size", F.xxhash64(F.lit(r), "sid"), "sid")
         rows = scratch.save(placed(), f"placed-{r}")
         centres = rows.groupBy("token").agg(F.max(F.struct(rank.alias("rank"), "sid", "comp", "n")).alias("c")).select("token", F.col("c.sid").alias("hub"), F.col("c.comp").alias("hub_comp"), F.col("c.n").alias("hub_n"))
         pairs = rows.join(centres, "token").where((F.col("comp") != F.col("hub_comp")) & _fits("n", "hub_n", "hub_n", percent))
-        spokes = scratch.save(pairs.select("hub", "hub_n", "sid", "n").distinct(), f"spokes-{r}")
-        hubs = spokes.select("hub", F.col("hub").alias("sid"), F.col("hub_n").alias("n")).distinct()
-        new = scratch.save(_links(hubs, spokes.select("hub", "sid", "n"), sets, percent), f"links-{r}")
+        pairs = pairs.groupBy("hub", "sid").agg(F.first("hub_n").alias("hub_n"), F.first("n").alias("n"), F.count("*").alias("c")).where(F.col("c") >= _least_shared("n", "hub_n", percent))
+        spokes = scratch.save(pairs.select("hub", "hub_n", "sid", "n"), f"spokes-{r}")
+        some = compared(spokes.select("hub", "sid", "n"), own_hubs(spokes), f"star-{r}")
         scratch.drop(f"placed-{r}", f"spokes-{r}")
-        if new.isEmpty():
+        if not some:
             break
-        links = new if links is None else links.union(new)
-        roots = scratch.save(connected_components(links, scratch, f"parts-{r}"), f"roots-{r}")
 
     rows = scratch.save(placed(), "placed")
     sides = rows.groupBy("token", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.first("size").alias("hub_size")).withColumnRenamed("comp", "hub")
     # the larger component is the hub, so every two components meet once a token
     cross = rows.join(sides, "token").where((F.struct("hub_size", "hub") > F.struct(F.col("size").alias("hub_size"), F.col("comp").alias("hub"))) & _fits("n", "least", "most", percent))
-    spokes = scratch.save(cross.select("hub", "sid", "n").distinct(), "spokes")
-    members = live.select("sid", "n") if roots is None else live.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left")
-    members = members.select((F.col("sid") if roots is None else F.coalesce("root", "sid")).alias("hub"), "sid", "n").join(spokes.select("hub").distinct(), "hub", "left_semi")
-    new = scratch.save(_links(members, spokes, sets, percent), "links")
-    scratch.drop("placed", "spokes")
-    if not new.isEmpty():
-        links = new if links is None else links.union(new)
-        roots = scratch.save(connected_components(links, scratch, "parts"), "roots")
-    scratch.drop("entries", "sets", "live")
+    cross = cross.groupBy("hub", "sid").agg(F.first("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"), F.count("*").alias("c"))
+    # the bound is least for the sizes farthest from n, none beyond what can link; rounding may take one more off between
+    lo, hi = F.greatest("least", F.expr(f"({percent} * n + 99) div 100")), F.least("most", F.expr(f"100 * n div {percent}"))
+    cross = cross.withColumns({"lo": lo, "hi": hi}).where(F.col("c") >= F.least(_least_shared("n", "lo", percent), _least_shared("n", "hi", percent)) - 1)
+    spokes = scratch.save(cross.select("hub", "sid", "n"), "spokes")
+    hubs = members().select(F.col("comp").alias("hub"), "sid", "n").join(spokes.select("hub").distinct(), "hub", "left_semi")
+    compared(spokes, hubs, "cross")
+    scratch.drop("rare", "often", "dense", "live", "sets", "placed", "spokes")
     return roots
 
 

@@ -45,10 +45,13 @@ FREQUENT = 8
 #: Frequent tokens kept at most (12 bytes each, sent to executors): beyond it the mark above rises.
 MAX_FREQUENT = 1_000_000
 #: Tokens that one counting task takes in, and that a map task holds before it passes them on.
-COUNT_TOKENS = 4_000_000
+COUNT_TOKENS = 1_000_000
 #: Tokens of a block of sets in a comparison.
 BLOCK_TOKENS = 60_000
 STAR_ROUNDS = 3
+#: Components that crowd a token, and tokens of a set that are listed to tell where two sets meet first.
+CROWD = 32
+MOST_LISTED = 256
 #: Bits of the filter over the sets that have candidates: at most 4 MB, sent to executors.
 MAX_FILTER_BITS = 1 << 25
 
@@ -374,6 +377,32 @@ def _rare_pairs(entries: DataFrame, percent: int) -> DataFrame:
     return pairs.where(bound >= _least_shared("n", "hub_n", percent)).select("hub", "hub_n", "sid", "n")
 
 
+def _cross(rows: DataFrame, sides: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(hub, sid, n, least, most, c): sets that share tokens with a component that isn't theirs, and how many.
+
+    The larger component is the hub, so two components meet once. A token of few
+    components simply joins. One of many would repeat the same pairs token after
+    token, so there two single sets meet at the first such token that they share.
+    """
+    larger = F.struct("hub_size", "hub") > F.struct(F.col("size").alias("hub_size"), F.col("comp").alias("hub"))
+    fits = larger & _fits("n", "least", "most", percent)
+    sides = scratch.save(sides, "sides")
+    crowded = scratch.save(sides.groupBy("token").agg(F.count("*").alias("comps")).where(F.col("comps") >= CROWD).select("token"), "crowded")
+    found = rows.join(crowded, "token", "left_anti").join(sides, "token").where(fits).withColumn("c", F.lit(1))
+    cols = ["hub", "sid", "n", "least", "most", "c"]
+    if not crowded.isEmpty():
+        dense = scratch.save(rows.join(crowded, "token"), "crowds")
+        own = dense.groupBy("sid").agg(F.collect_list("token").alias("own")).where(F.size("own") <= MOST_LISTED)
+        dense = dense.join(own, "sid", "left")
+        ones = dense.where("size = 1").select("token", F.col("comp").alias("hub"), F.col("own").alias("hub_own"))
+        hubs = sides.join(crowded, "token", "left_semi").join(ones, ["token", "hub"], "left")
+        both = F.array_intersect("own", "hub_own")
+        listed = F.col("own").isNotNull() & F.col("hub_own").isNotNull()
+        meets = dense.join(hubs, "token").where(fits & (~listed | (F.col("token") == F.array_min(both))))
+        found = found.select(*cols).unionByName(meets.withColumn("c", F.when(listed, F.size(both)).otherwise(1)).select(*cols))
+    return found.groupBy("hub", "sid").agg(F.first("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"), F.sum("c").alias("c"))
+
+
 def _join(docs: DataFrame, k: int, percent: int, n_tokens: int, scratch: Scratch) -> DataFrame | None:
     """(node, root) of sets that link with other sets; None where none do."""
     spark = docs.sparkSession
@@ -433,16 +462,14 @@ def _join(docs: DataFrame, k: int, percent: int, n_tokens: int, scratch: Scratch
 
     rows = scratch.save(placed(), "placed")
     sides = rows.groupBy("token", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.first("size").alias("hub_size")).withColumnRenamed("comp", "hub")
-    # the larger component is the hub, so every two components meet once a token
-    cross = rows.join(sides, "token").where((F.struct("hub_size", "hub") > F.struct(F.col("size").alias("hub_size"), F.col("comp").alias("hub"))) & _fits("n", "least", "most", percent))
-    cross = cross.groupBy("hub", "sid").agg(F.first("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"), F.count("*").alias("c"))
+    cross = _cross(rows, sides, percent, scratch)
     # the bound is least for the sizes farthest from n, none beyond what can link; rounding may take one more off between
     lo, hi = F.greatest("least", F.expr(f"({percent} * n + 99) div 100")), F.least("most", F.expr(f"100 * n div {percent}"))
     cross = cross.withColumns({"lo": lo, "hi": hi}).where(F.col("c") >= F.least(_least_shared("n", "lo", percent), _least_shared("n", "hi", percent)) - 1)
     spokes = scratch.save(cross.select("hub", "sid", "n"), "spokes")
     hubs = members().select(F.col("comp").alias("hub"), "sid", "n").join(spokes.select("hub").distinct(), "hub", "left_semi")
     compared(spokes, hubs, "cross")
-    scratch.drop("rare", "often", "dense", "live", "sets", "placed", "spokes")
+    scratch.drop("rare", "often", "dense", "live", "sets", "placed", "spokes", "sides", "crowded", "crowds")
     return roots
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -229,14 +230,16 @@ def uncovered_text(blocks: DataFrame) -> DataFrame:
 def group_detections(dets: DataFrame, page_w: int, page_h: int) -> DataFrame:
     """page_id, block_id (order on the page), label, class_id, conf and box of every block.
 
-    A page's detections are exchanged once by page; later steps reuse that.
+    Steps read what earlier ones made several times, so those tables are kept in
+    memory, or on disk where it runs short; a lost part is made again.
     """
-    dets = expand_text(dets.select("page_id", "det_id", "label", "conf", *BOX), page_w, page_h)
-    made = captioned(dets, "figure", 1).unionByName(captioned(dets, "isolate_formula", 4)).unionByName(tabled(dets, 7))
-    text = merged_text(dets)
+    kept = lambda df: df.persist(StorageLevel.MEMORY_AND_DISK)
+    dets = kept(expand_text(dets.select("page_id", "det_id", "label", "conf", *BOX), page_w, page_h).repartition("page_id"))
+    made = kept(captioned(dets, "figure", 1).unionByName(captioned(dets, "isolate_formula", 4)).unionByName(tabled(dets, 7)))
+    text = kept(merged_text(dets))
     regions = made.select("page_id", *BOX).union(dets.where("label <> 'plain text'").select("page_id", *BOX))
     slices = text_slices(text, merged_bands(cut_bands(text, regions)))
     slices = slices.select("page_id", F.lit(10).alias("step"), "seq", "sub", F.lit("plain text").alias("label"), F.lit(1.0).alias("conf"), *BOX)
-    blocks = uncovered_text(titled(made.unionByName(slices).unionByName(passed_through(dets, 11))))
+    blocks = uncovered_text(kept(titled(kept(made.unionByName(slices).unionByName(passed_through(dets, 11))))))
     rank = F.row_number().over(Window.partitionBy("page_id").orderBy("step", "seq", "sub"))
     return blocks.select("page_id", rank.alias("block_id"), "label", class_id(F.col("label")).alias("class_id"), "conf", *BOX)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelayout.functions.geometry import BOX, Box, union_box
+from pagelayout.functions.pages import per_page
 from pagelayout.schema import CLASS_ID
 
 OUT = ("page_id", "step", "seq", "sub", "label", "conf", *BOX)
@@ -227,9 +228,136 @@ def uncovered_text(blocks: DataFrame) -> DataFrame:
     return blocks.where("label <> 'plain text'").unionByName(text.join(other, covers, "left_anti").drop("_key"))
 
 
+def _span(a: tuple, b: tuple) -> tuple:
+    """Intersection of two boxes."""
+    return max(a[0], b[0]), max(a[1], b[1]), min(a[2], b[2]), min(a[3], b[3])
+
+
+def _size(box: tuple) -> int:
+    return max(0, box[2] - box[0]) * max(0, box[3] - box[1])
+
+
+def _hull(boxes: list[tuple]) -> tuple:
+    return min(b[0] for b in boxes), min(b[1] for b in boxes), max(b[2] for b in boxes), max(b[3] for b in boxes)
+
+
+def _far(a: tuple, b: tuple) -> int:
+    return (a[0] + a[2] - b[0] - b[2]) ** 2 + (a[1] + a[3] - b[1] - b[3]) ** 2
+
+
+def _slices(box: tuple, regions: list[tuple], least_band: int = 10, least_slice: int = 20) -> list[tuple]:
+    """E10 for one text box."""
+    bands: list[list[int]] = []
+    for top, bottom in sorted((s[1], s[3]) for s in (_span(box, r) for r in regions) if _size(s) > 0 and s[3] - s[1] >= least_band):
+        if bands and top <= bands[-1][1]:
+            bands[-1][1] = max(bands[-1][1], bottom)
+        else:
+            bands.append([top, bottom])
+    if not bands:
+        return [box]
+    tops, ends = [box[1], *(b for _, b in bands)], [*(t for t, _ in bands), box[3]]
+    return [(box[0], t, box[2], e) for t, e in zip(tops, ends, strict=True) if e - t >= least_slice]
+
+
+def group_page(page: list[dict], page_w: int, page_h: int) -> list[tuple]:
+    """E1-E13 for the detections of one page in det_id order: (label, conf, box) in the order they are made."""
+    box, by_label = {}, {}
+    for d in page:
+        b = tuple(d[c] for c in BOX)
+        if d["label"] == "plain text":
+            b = (max(0, b[0] - 5), max(0, b[1] - 5), min(page_w, b[2] + 5), min(page_h, b[3] + 5))
+        box[d["det_id"]] = b
+        by_label.setdefault(d["label"], []).append(d["det_id"])
+    conf = {d["det_id"]: d["conf"] for d in page}
+    of = lambda label: by_label.get(label, [])
+    out: list[tuple] = []
+
+    def paired(target: str) -> dict[int, int]:
+        """Caption -> target."""
+        measure = (lambda a, b: abs(a[1] + a[3] - b[1] - b[3])) if target == "isolate_formula" else _far
+        free, pairs = list(of(target)), {}
+        for c in of(CAPTION_OF[target]):
+            if free:
+                pairs[c] = min(free, key=lambda t: (measure(box[c], box[t]), t))
+                free.remove(pairs[c])
+        return pairs
+
+    def alone(label: str, taken) -> None:
+        out.extend((label, conf[i], box[i]) for i in of(label) if i not in taken)
+
+    for target in ("figure", "isolate_formula"):
+        pairs = paired(target)
+        out.extend((f"{target}_and_caption", max(conf[c], conf[t]), _hull([box[c], box[t]])) for c, t in pairs.items())
+        alone(target, set(pairs.values()))
+        alone(CAPTION_OF[target], pairs)
+
+    groups: dict[int, list[int]] = {t: [t] for t in of("table")}
+    pairs = paired("table")
+    for c, t in pairs.items():
+        groups[t].append(c)
+    notes = of("table_footnote") if groups else []
+    for n in notes:
+        groups[min(groups, key=lambda t: (_far(box[n], box[t]), t))].append(n)
+    out.extend(("table_and_caption" if len(own) > 1 else "table", max(conf[i] for i in own), _hull([box[i] for i in own])) for own in groups.values())
+    alone("table_caption", pairs)
+    alone("table_footnote", notes)
+
+    parts: list[list[int]] = []
+    for i in of("plain text"):
+        near = [g for g in parts if any((s := _size(_span(box[i], box[j]))) > 0 and s / min(_size(box[i]), _size(box[j])) >= 0.1 for j in g)]
+        parts = [g for g in parts if g not in near] + [[*(j for g in near for j in g), i]]
+    regions = [b for _, _, b in out] + [box[d["det_id"]] for d in page if d["label"] != "plain text"]
+    for own in sorted(parts, key=min):
+        out.extend(("plain text", 1.0, b) for b in _slices(_hull([box[i] for i in own]), regions))
+    for label, own in by_label.items():
+        if label not in HANDLED:
+            out.extend((label, conf[i], box[i]) for i in own)
+
+    # Each title takes the nearest free text below it
+    body: dict[int, int] = {}
+    for t, (label, _, tb) in enumerate(out):
+        if label != "title":
+            continue
+        best = None
+        for p, (other, _, pb) in enumerate(out):
+            gap, narrower = pb[1] - tb[3], min(tb[2] - tb[0], pb[2] - pb[0])
+            if other == "plain text" and p not in body.values() and 0 <= gap <= 50 and narrower > 0 and (min(tb[2], pb[2]) - max(tb[0], pb[0])) / narrower >= 0.5 and (best is None or gap < best[0]):
+                best = (gap, p)
+        if best:
+            body[t] = best[1]
+    made = []
+    for i, (label, c, b) in enumerate(out):
+        if i in body:
+            made += [("titled_block_title", c, b), ("titled_block_body", c, out[body[i]][2])]
+        elif i not in body.values():
+            made.append((label, c, b))
+
+    # Text that another covers goes, both where they cover each other
+    text = [b for label, _, b in made if label == "plain text"]
+
+    def covered(b: tuple) -> bool:
+        others = list(text)
+        others.remove(b)
+        return any(b[1] >= o[1] - 2 and b[3] <= o[3] + 2 and min(b[2], o[2]) - max(b[0], o[0]) > 0.7 * (b[2] - b[0]) for o in others)
+
+    return [x for x in made if x[0] != "plain text" or not covered(x[2])]
+
+
 def group_detections(dets: DataFrame, page_w: int, page_h: int) -> DataFrame:
     """page_id, block_id (order on the page), label, class_id, conf and box of every block.
 
+    All steps of a page in one pass: its detections (hundreds at most) are exchanged
+    once by page, where the steps' own tables would take some twenty exchanges.
+    """
+    rows = dets.select("page_id", "det_id", "label", "conf", *BOX)
+    work = lambda page: [(n, label, c, *b) for n, (label, c, b) in enumerate(group_page(page, page_w, page_h), 1)]
+    made = per_page(rows, ["page_id"], ["det_id"], work, "block_id int, label string, conf double, x1 int, y1 int, x2 int, y2 int")
+    return made.select("page_id", "block_id", "label", class_id(F.col("label")).alias("class_id"), "conf", *BOX)
+
+
+def group_detections_by_steps(dets: DataFrame, page_w: int, page_h: int) -> DataFrame:
+    """As group_detections, from the single steps' tables: for those who want the tables, and to check against.
+
     Steps read what earlier ones made several times, so those tables are kept in
     memory, or on disk where it runs short; a lost part is made again.
     """

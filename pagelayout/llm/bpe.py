@@ -12,6 +12,7 @@ that a task meets are encoded together, as one list with gaps.
 from __future__ import annotations
 
 import base64
+import sys
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import chain
@@ -25,8 +26,8 @@ from pyspark.sql import types as T
 from .annotate import annotate, free_name
 from .store import prepare
 
-#: Pre-tokens a worker remembers (a few hundred bytes each); then it starts afresh.
-CACHE_PIECES = 800_000
+#: Pre-tokens a worker remembers (some two hundred bytes each); then it starts afresh.
+CACHE_PIECES = 500_000
 #: Pre-tokens of at most this many characters are remembered.
 CACHE_CHARS = 64
 #: Pre-tokens of a text held at once.
@@ -131,17 +132,17 @@ class Encoder:
                 left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if left is not None and right is not None:
                     self.rank_of[left * self.size + right] = rank
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.long: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, bytes] = {}
+        self.long: dict[str, bytes] = {}
 
-    def merge(self, pieces: list[bytes]) -> list[list[int]]:
-        """Token ids of each piece."""
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Token ids of each piece, as 32-bit integers."""
         whole = [self.ranks.get(p) for p in pieces]
         rest = [p for p, w in zip(pieces, whole, strict=True) if w is None]
         merged = iter(self._merge(rest)) if rest else iter(())
-        return [[w] if w is not None else next(merged) for w in whole]
+        return [w.to_bytes(4, sys.byteorder) if w is not None else next(merged) for w in whole]
 
-    def _merge(self, pieces: list[bytes]) -> list[list[int]]:
+    def _merge(self, pieces: list[bytes]) -> list[bytes]:
         raw = np.frombuffer(b"".join(pieces), dtype=np.uint8)
         n = len(raw)
         ends = np.cumsum([len(p) for p in pieces])
@@ -167,7 +168,7 @@ class Encoder:
                     continue  # stale
                 j = nxt[i]
                 k = nxt[j]
-                token[i], nxt[i], pair[j] = rank, k, -1
+                token[i], nxt[i], token[j], pair[j] = rank, k, -1, -1
                 least = rank
                 if k == n:
                     pair[i] = -1
@@ -194,15 +195,11 @@ class Encoder:
                 if least < rank and done < len(bucket):
                     queue.open(rank, bucket[done:])
                     break
-        out, i = [], 0
-        for end in ends.tolist():
-            ids, k = [], i
-            while k != n:
-                ids.append(token[k])
-                k = nxt[k]
-            out.append(ids)
-            i = end
-        return out
+        left = np.array(token, dtype=np.int32)
+        stays = left >= 0
+        cuts = 4 * np.concatenate([[0], np.cumsum(stays)])[np.concatenate([[0], ends])]
+        packed, cuts = left[stays].tobytes(), cuts.tolist()
+        return [packed[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def _pieces(self, text: str) -> Iterator[list[str]]:
         if len(text) <= PIECES_AT_ONCE:
@@ -251,13 +248,12 @@ class Encoder:
         self.long.clear()
         new = [p for p in set(pieces) if p not in self.cache]
         for p, ids in zip(new, self.merge([p.encode("utf-8") for p in new]), strict=True):
-            (self.cache if len(p) <= CACHE_CHARS else self.long)[p] = tuple(ids)
+            (self.cache if len(p) <= CACHE_CHARS else self.long)[p] = ids
 
     def ids(self, pieces: list[str]) -> np.ndarray:
         cache, long = self.cache, self.long
-        if long:
-            return np.fromiter(chain.from_iterable(cache[p] if p in cache else long[p] for p in pieces), dtype=np.int32)
-        return np.fromiter(chain.from_iterable(map(cache.__getitem__, pieces)), dtype=np.int32)
+        parts = (cache[p] if p in cache else long[p] for p in pieces) if long else map(cache.__getitem__, pieces)
+        return np.frombuffer(b"".join(parts), dtype=np.int32)
 
 
 _encoders: dict[tuple, Encoder] = {}

@@ -142,3 +142,12 @@ def test_sampled_regions_are_the_same_again(spark):
     a, b = (sorted(map(tuple, skew.sampled_regions(boxes, "page_id", 600, 600).collect())) for _ in range(2))
     assert a == b and {r[0] for r in a} == {1} and len(a) == 20
     assert all(0 <= r[2] < r[4] <= 600 for r in a)
+
+
+def test_lines_in_one_pass_equal_the_steps(spark):
+    from pagelayout.sources import fixtures
+
+    rows = fixtures.word_boxes(spark, "/root/testdata/sf0.001")
+    steps = lines.merge_close_lines(lines.text_lines(rows)).collect()
+    assert sorted(map(tuple, lines.group_words(rows).collect())) == sorted(map(tuple, steps)) and steps
+    assert lines.group_words(rows.where("page_id < 0")).count() == 0

@@ -62,12 +62,11 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in place of the text, their number, and whether decoding gives the text back."""
-    words = vocabulary()
     rest = [c for c in docs.columns if c not in ("text", "ids", "n_tokens", "round_trip")]
     name = free_name(docs, "coded")
-    coded = bpe.encode(docs, words, name=name).select(*rest, F.sha2(F.coalesce("text", F.lit("")), 256).alias("_text"), F.col(name)["ids"].alias("ids"))
-    back = bpe.decode(coded, words, "ids", "_decoded")
-    return back.select(*rest, "ids", F.size("ids").cast("long").alias("n_tokens"), (F.sha2("_decoded", 256) == F.col("_text")).alias("round_trip"))
+    coded = bpe.round_trip(docs, vocabulary(), name=name)
+    same = F.col(name)["decoded"] == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    return coded.select(*rest, F.col(name)["ids"].alias("ids"), F.size(F.col(name)["ids"]).cast("long").alias("n_tokens"), same.alias("round_trip"))
 
 
 STAGES = [

@@ -36,6 +36,7 @@ PIECES_AT_ONCE = 1 << 18
 MAX_VOCABULARY = 1 << 20
 
 FIELDS = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)])
+ROUND_TRIP_FIELDS = T.StructType([*FIELDS.fields, T.StructField("decoded", T.BinaryType(), False)])
 
 
 class RankQueue:
@@ -293,6 +294,20 @@ def share(spark: SparkSession, vocabulary: Vocabulary):
     return spark.sparkContext.broadcast((vocabulary.ranks, vocabulary.pattern))
 
 
+def _id_lists(ids: list[np.ndarray]) -> tuple[pa.ListArray, np.ndarray, np.ndarray]:
+    """(lists, their offsets, all ids)."""
+    offsets = np.cumsum([0, *map(len, ids)])
+    flat = np.concatenate([np.zeros(0, dtype=np.int32), *ids])
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat)), offsets, flat
+
+
+def _bytes_of(decoder: Decoder, flat: np.ndarray, offsets: np.ndarray) -> pa.BinaryArray:
+    """The bytes of each list of ids."""
+    data, ends = decoder.decode(flat)
+    cuts = np.concatenate([[0], ends])[offsets].astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", name: str = "bpe") -> DataFrame:
     """`docs` with a struct `name`: ids, the text's token ids. Null and empty texts have none."""
     shared = share(docs.sparkSession, vocabulary)
@@ -301,16 +316,30 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", name: st
         encoder = encoder_for(*shared.value)
 
         def work(column: pa.Array) -> pa.StructArray:
-            ids = encoder.encode_all(column.to_pylist())
-            offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, dtype=np.int32), *ids])))
-            return pa.StructArray.from_arrays([lists], names=FIELDS.names)
+            return pa.StructArray.from_arrays([_id_lists(encoder.encode_all(column.to_pylist()))[0]], names=FIELDS.names)
 
         return work
 
     return annotate(docs, text, make, FIELDS, free_name(docs, name))
 
 
+def round_trip(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", name: str = "bpe") -> DataFrame:
+    """As encode, with `decoded`: the bytes that the ids decode to. One pass, so ids needn't travel in between."""
+    shared = share(docs.sparkSession, vocabulary)
+
+    def make():
+        encoder = encoder_for(*shared.value)
+        decoder = Decoder(Vocabulary(*shared.value))
+
+        def work(column: pa.Array) -> pa.StructArray:
+            lists, offsets, flat = _id_lists(encoder.encode_all(column.to_pylist()))
+            return pa.StructArray.from_arrays([lists, _bytes_of(decoder, flat, offsets)], names=ROUND_TRIP_FIELDS.names)
+
+        return work
+
+    return annotate(docs, text, make, ROUND_TRIP_FIELDS, free_name(docs, name))
+
+
 def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", name: str = "decoded") -> DataFrame:
     """`docs` with a binary column `name`, the bytes of the id lists in `ids`.
 
@@ -328,10 +357,8 @@ def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", name: str
             if values is None:
                 lists = pa.array([[i for i in x if i is not None] for x in lists.to_pylist()], lists.type)
                 values = lists.flatten()
-            data, ends = decoder.decode(values.to_numpy(zero_copy_only=False))
-            cuts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
-            offsets = np.concatenate([[0], ends])[cuts].astype(np.int32)
-            out = pa.BinaryArray.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+            offsets = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+            out = _bytes_of(decoder, values.to_numpy(zero_copy_only=False), offsets)
             yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, name])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType(), False)]))

@@ -29,10 +29,8 @@ def vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> bpe.Vocabulary:
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = vocabulary()
-    coded = bpe.encode(read(spark, sf_dir, "documents", "doc_id", "text"), words, name="coded").select("doc_id", F.col("coded.ids").alias("ids"))
-    back = bpe.decode(coded, words, "ids", "decoded")
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = bpe.round_trip(read(spark, sf_dir, "documents", "doc_id", "text"), vocabulary(), name="coded").select("doc_id", "coded.*")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 URL_RULES = [url_filter.Rule(h, p, v) for h, p, v in (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))]

@@ -123,6 +123,8 @@ def test_encode_and_decode_tables(spark, words, library):
     back = bpe.decode(coded.select("doc_id", "text", F.col("bpe_.ids").alias("ids")), words).collect()
     for r in back:
         assert r.ids == library.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode()
+    both = bpe.round_trip(spark.createDataFrame(rows, DOCS), words).collect()
+    assert [(r.bpe.ids, bytes(r.bpe.decoded)) for r in both] == [(r.ids, bytes(r.decoded)) for r in back]
     lists = spark.createDataFrame([(None,), ([],), ([1, None, 2],)], "ids array<int>")
     assert [bytes(r.decoded) for r in bpe.decode(lists, words).collect()] == [b"", b"", words.tokens[1] + words.tokens[2]]
 

@@ -27,7 +27,7 @@ from .annotate import annotate, free_name
 from .store import prepare
 
 #: Pre-tokens a worker remembers (some two hundred bytes each); then it starts afresh.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 300_000
 #: Pre-tokens of at most this many characters are remembered.
 CACHE_CHARS = 64
 #: Pre-tokens of a text held at once.

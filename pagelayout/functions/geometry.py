@@ -93,7 +93,7 @@ def normalised(x: Column, mean: float = 0.0, std: float = 1.0) -> Column:
 
 def crop_size(w: Column, h: Column, height: int = 48, width: int = 320) -> Column:
     """Width of a crop scaled to `height`, what of it is kept, and the padding on its right."""
-    new_w = F.greatest(F.lit(1), truncated(w * height / h))
+    new_w = F.greatest(F.lit(1), truncated(w * height / F.greatest(h, F.lit(1))))
     return F.struct(new_w.alias("new_w"), F.least(new_w, F.lit(width)).alias("kept_w"), F.greatest(F.lit(0), F.lit(width) - new_w).alias("pad_right"))
 
 

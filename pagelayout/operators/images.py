@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 COMPONENTS = "array<struct<comp_id:int,x:int,y:int,w:int,h:int,area:int>>"
 
@@ -56,4 +57,4 @@ def with_components(crops: DataFrame, name: str = "components") -> DataFrame:
             kind = pa.list_(pa.struct([(c, pa.int32()) for c in ("comp_id", "x", "y", "w", "h", "area")]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=[*batch.schema.names, name])
 
-    return crops.mapInArrow(run, f"{crops.schema.simpleString()[7:-1].replace(':', ' ')}, {name} {COMPONENTS}")
+    return crops.mapInArrow(run, T.StructType([*crops.schema.fields, *T.StructType.fromDDL(f"{name} {COMPONENTS}").fields]))

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def cross_correlation(cells: DataFrame, key: str, d: int, s_range: int, horizontal: bool = False) -> DataFrame:
@@ -18,7 +21,7 @@ def cross_correlation(cells: DataFrame, key: str, d: int, s_range: int, horizont
     b = cells.select(key, (F.col(line) - d).alias("_line"), F.col(along).alias("_j"), F.col("z").alias("_b"))
     pairs = a.withColumn("_j", F.col("_i") + F.col("s")).join(b, [key, "_line", "_j"])
     flat = lambda c: F.stddev_pop(c) <= 1e-10
-    each = pairs.groupBy(key, "s", "_line").agg(F.when(~(flat("_a") | flat("_b")), F.corr("_a", "_b") * F.count("*")).alias("v"))
+    each = pairs.groupBy(key, "s", "_line").agg(F.when(~(flat("_a") | flat("_b")), F.covar_pop("_a", "_b") / (F.stddev_pop("_a") * F.stddev_pop("_b")) * F.count("*")).alias("v"))
     return each.groupBy(key, "s").agg(F.coalesce(F.avg("v"), F.lit(0.0)).alias("value"))
 
 
@@ -90,6 +93,64 @@ def robust_angle(angles: DataFrame, key: str, least: int = 5, sigmas: float = 2.
     return out.select(key, "n", F.when((F.col("n") < least) | (F.col("_std") > most_std), 0.0).otherwise(F.col("_median")).alias("angle"))
 
 
+def median_angle(angles: DataFrame, key: str) -> DataFrame:
+    """I8: (key, n, angle): plain median, for pages without regions to sample."""
+    return angles.groupBy(key).agg(F.count("angle").alias("n"), F.coalesce(F.median("angle"), F.lit(0.0)).alias("angle"))
+
+
+# the same for pixels of real size: NumPy behind Arrow
+
+
+def correlation(gray: np.ndarray, d: int, s_range: int, horizontal: bool = False) -> np.ndarray:
+    """I1, I2 for one gray image: values at the shifts -s_range..s_range."""
+    lines = (gray if horizontal else gray.T).astype(np.float64)
+    out = np.zeros(2 * s_range + 1)
+    n = lines.shape[1]
+    for i, s in enumerate(range(-s_range, s_range + 1)):
+        a, b = lines[:-d, max(0, -s) : n - max(0, s)], lines[d:, max(0, s) : n + min(0, s)]
+        if a.size:
+            a, b = a - a.mean(axis=1, keepdims=True), b - b.mean(axis=1, keepdims=True)
+            spread = np.sqrt((a * a).mean(axis=1)), np.sqrt((b * b).mean(axis=1))
+            full = (spread[0] > 1e-10) & (spread[1] > 1e-10)
+            if full.any():
+                out[i] = ((a * b).sum(axis=1)[full] / (spread[0] * spread[1])[full]).mean()
+    return out
+
+
+def image_angle(gray: np.ndarray, d: int, s_range: int, d_second: int | None = None, least_tv: float = 10.0) -> float | None:
+    """I3-I5 for one gray image."""
+    signals = [correlation(gray, d, s_range, h) for h in (False, True)]
+    tv = [np.abs(np.diff(x)).sum() for x in signals]
+    if max(tv) < least_tv:
+        return None
+    pick = 0 if tv[0] >= tv[1] else 1
+
+    def shifts(x: np.ndarray) -> list[int]:
+        inner = np.flatnonzero((x[1:-1] > x[:-2]) & (x[1:-1] > x[2:])) + 1
+        return [int(i) - s_range for i in sorted(inner, key=lambda i: -x[i])] or [int(np.argmax(x)) - s_range]
+
+    tops = shifts(signals[pick])
+    angle = math.degrees(math.atan(tops[0] / d))
+    if len(tops) > 1 and d_second not in (None, d):
+        second = math.degrees(math.atan(shifts(correlation(gray, d_second, s_range, bool(pick)))[0] / d_second))
+        if abs(angle - second) < 1.0:
+            angle = (angle + second) / 2
+    return angle
+
+
+def crop_angles(crops: DataFrame, d: int, s_range: int, d_second: int | None = None, name: str = "angle") -> DataFrame:
+    """I5 for gray crops (pixels, h, w): adds the angle, null where none shows."""
+    at = [crops.columns.index(c) for c in ("pixels", "h", "w")]
+
+    def run(batches):
+        for batch in batches:
+            rows = zip(*(batch.column(i).to_pylist() for i in at), strict=True)
+            angles = [image_angle(np.frombuffer(p, dtype=np.uint8).reshape(h, w), d, s_range, d_second) if p else None for p, h, w in rows]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(angles, pa.float64())], names=[*batch.schema.names, name])
+
+    return crops.mapInArrow(run, T.StructType([*crops.schema.fields, T.StructField(name, T.DoubleType())]))
+
+
 def turned(angles: DataFrame, least: float = 0.1) -> DataFrame:
     """Pages whose angle calls for a rotation; what was derived from them is to be made again."""
     return angles.where(F.abs("angle") > least)

@@ -273,6 +273,7 @@ _LET["ra"] = "SELECT region_set, angle, avg(angle) OVER w AS m, stddev_pop(angle
 _LET["rob"] = "SELECT region_set, max(n) AS n, CASE WHEN max(n) < 5 OR stddev_pop(angle) FILTER (s = 0 OR abs(angle - m) <= 2 * s + 1e-12) > 0.9 THEN 0.0 ELSE median(angle) FILTER (s = 0 OR abs(angle - m) <= 2 * s + 1e-12) END AS angle FROM ra GROUP BY region_set"
 _NEEDS |= {"ra": ["ang"], "rob": ["ra"]}
 _sql("i7_robust_angle", ["rob"], "SELECT region_set, n, round(angle, 6) AS angle FROM rob")
+_sql("i8_median_angle", ["ang"], "SELECT region_set, count(*) AS n, round(median(angle), 6) AS angle FROM ang GROUP BY region_set")
 _sql("i9_turned", ["rob"], "SELECT region_set, n, round(angle, 6) AS angle FROM rob WHERE abs(angle) > 0.1")
 
 
@@ -293,6 +294,7 @@ _NEEDS |= {"tri": ["pd"], "prof": ["tri"]}
 _sql("j7_language_profiles", ["prof"], "SELECT lang, gram, rank FROM prof")
 _sql("j7_classified", ["prof"], ", own AS (SELECT doc_id, gram, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, gram) AS mine FROM tri WHERE doc_id % 5 = 0 GROUP BY doc_id, gram QUALIFY mine <= 300), s AS (SELECT doc_id, count(*) AS grams FROM own GROUP BY doc_id), d AS (SELECT o.doc_id, p.lang, sum(abs(mine - rank) - 300) AS saved FROM own o JOIN prof p ON p.gram = o.gram GROUP BY o.doc_id, p.lang), b AS (SELECT doc_id, lang, saved, row_number() OVER (PARTITION BY doc_id ORDER BY saved, lang) AS n FROM d) SELECT s.doc_id, coalesce(b.lang, 'en') AS lang, CAST(grams * 300 + coalesce(saved, 0) AS BIGINT) AS distance FROM s LEFT JOIN b ON b.doc_id = s.doc_id AND b.n = 1")
 _sql("j8_confidence", [], f"SELECT event_id, CASE iso WHEN 'no' THEN 'nb' ELSE CASE WHEN iso IN {_list(LANGUAGES)} THEN iso ELSE 'en' END END AS app_lang, round(greatest(0.0, least(1.0, 1 - value * 7 / 500)), 6) AS confidence FROM (SELECT *, ['en', 'no', 'xx', 'fr'][event_id % 4 + 1] AS iso FROM events)")
+_sql("a1_render_size", ["raw"], "SELECT DISTINCT page_id, CAST(trunc(img_w * 150 / CASE WHEN page_id % 2 = 0 THEN 72 ELSE 300 END) AS INT) AS w, CAST(trunc(img_h * 150 / CASE WHEN page_id % 2 = 0 THEN 72 ELSE 300 END) AS INT) AS h FROM raw")
 _sql("a3_documents", [], "SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'pdf' ELSE 'djvu' END AS kind, unnest(range(page_id % 4)) AS page_no FROM pages WHERE page_id % 5 IN (0, 1, 2)")
 _sql("a6_content_type", [], "SELECT page_id, CASE WHEN page_id % 4 IN (0, 1) THEN 'image/jpeg' ELSE 'image/png' END AS content_type FROM pages")
 _sql("a9_health", [], "SELECT event_id, event_id % 10 <> 0 AND coalesce(json_extract_string(props, '$.k') = '3', false) AS healthy FROM events")

@@ -556,6 +556,11 @@ def i7_robust_angle(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(skew.robust_angle(fixtures.angles(spark, sf), "region_set", most_std=0.9), "angle")
 
 
+@query
+def i8_median_angle(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(skew.median_angle(fixtures.angles(spark, sf), "region_set"), "angle")
+
+
 @query
 def i9_turned(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(skew.turned(skew.robust_angle(fixtures.angles(spark, sf), "region_set", most_std=0.9)), "angle")
@@ -632,6 +637,14 @@ def j8_confidence(spark: SparkSession, sf: str) -> DataFrame:
 # sources
 
 
+@query
+def a1_render_size(spark: SparkSession, sf: str) -> DataFrame:
+    """A1, A2."""
+    own = F.when(F.col("page_id") % 2 == 0, 72).otherwise(300)
+    raw = fixtures.raw_predictions(spark, sf).select("page_id", "img_w", "img_h").distinct()
+    return raw.select("page_id", analyser.render_size(F.col("img_w"), F.col("img_h"), 150, own).alias("s")).select("page_id", "s.*")
+
+
 @query
 def a3_documents(spark: SparkSession, sf: str) -> DataFrame:
     path = F.concat(F.lit("doc"), F.col("page_id"), F.element_at(F.array(*(F.lit(x) for x in (".PDF", ".djvu", ".djv", ".txt", ""))), (F.col("page_id") % 5 + 1).cast("int")))

@@ -151,3 +151,24 @@ def test_lines_in_one_pass_equal_the_steps(spark):
     steps = lines.merge_close_lines(lines.text_lines(rows)).collect()
     assert sorted(map(tuple, lines.group_words(rows).collect())) == sorted(map(tuple, steps)) and steps
     assert lines.group_words(rows.where("page_id < 0")).count() == 0
+
+
+def test_pixels_and_cells_give_the_same_angles(spark):
+    rng = np.random.default_rng(3)
+    images = [rng.integers(0, 255, (8, 8)).astype(np.uint8) for _ in range(12)] + [np.zeros((8, 8), dtype=np.uint8)]
+    cells = spark.createDataFrame([(n, r, c, float(g[r, c])) for n, g in enumerate(images) for r in range(8) for c in range(8)], "k int, r int, c int, z double")
+    want = {r.k: r.angle for r in skew.region_angles(cells, "k", 2, 2, 3).collect()}
+    crops = spark.createDataFrame([(n, g.tobytes(), 8, 8) for n, g in enumerate(images)] + [(99, None, 0, 0)], "k int, pixels binary, h int, w int")
+    got = {r.k: r.angle for r in skew.crop_angles(crops, 2, 2, 3).collect()}
+    assert got.pop(99) is None and got.keys() == want.keys()
+    for k, angle in got.items():
+        assert angle == want[k] if angle is None else abs(angle - want[k]) < 1e-9
+
+
+def test_components_of_crops(spark):
+    from pagelayout.operators.images import with_components
+
+    gray = np.full((5, 5), 200, dtype=np.uint8)
+    gray[1:3, 1:3] = 5
+    rows = with_components(spark.createDataFrame([(1, gray.tobytes(), 5, 5), (2, None, 0, 0)], "k int, pixels binary, h int, w int")).collect()
+    assert [[tuple(c) for c in r.components] for r in rows] == [[(1, 1, 1, 2, 2, 4)], []]

@@ -267,6 +267,26 @@ def _correlation(line: str, along: str, d: int = 2) -> str:
 
 _sql("i1_vertical_correlation", ["grid"], f"{_correlation('c', 'r')} SELECT vec_id, s::INT AS s, round(coalesce(avg(v), 0), 6) AS value FROM p GROUP BY vec_id, s")
 _sql("i2_horizontal_correlation", ["grid"], f"{_correlation('r', 'c')} SELECT vec_id, s::INT AS s, round(coalesce(avg(v), 0), 6) AS value FROM p GROUP BY vec_id, s")
+
+
+def _region_angles() -> str:
+    """I5 on the grids: distance 2, second distance 3, shifts -2..2."""
+    parts = ["s AS (SELECT unnest(range(-2, 3)) AS s)"]
+    for tag, line, along in (("v", "c", "r"), ("h", "r", "c")):
+        for d in (2, 3):
+            t = f"{tag}{d}"
+            parts += [
+                f"p{t} AS (SELECT a.vec_id, s.s, CASE WHEN stddev_pop(a.z) <= 1e-10 OR stddev_pop(b.z) <= 1e-10 THEN NULL ELSE corr(a.z, b.z) * count(*) END AS v FROM grid a JOIN s ON true JOIN grid b ON b.vec_id = a.vec_id AND b.{line} = a.{line} + {d} AND b.{along} = a.{along} + s.s GROUP BY a.vec_id, s.s, a.{line})",
+                f"r{t} AS (SELECT vec_id, s, coalesce(avg(v), 0) AS value FROM p{t} GROUP BY vec_id, s)",
+                f"w{t} AS (SELECT *, value - lag(value) OVER w AS step, value > lag(value) OVER w AND value > lead(value) OVER w AS top FROM r{t} WINDOW w AS (PARTITION BY vec_id ORDER BY s))",
+                f"k{t} AS (SELECT vec_id, sum(abs(step)) AS tv, count(*) FILTER (top) AS n, coalesce(arg_max(s, value) FILTER (top), arg_max(s, value)) AS s FROM w{t} GROUP BY vec_id)",
+            ]
+    pick = lambda c, d: f"CASE WHEN kv2.tv >= kh2.tv THEN kv{d}.{c} ELSE kh{d}.{c} END"
+    body = f"SELECT kv2.vec_id, greatest(kv2.tv, kh2.tv) < 10 AS flat, {pick('n', 2)} AS n, degrees(atan(({pick('s', 2)}) / 2)) AS a, degrees(atan(({pick('s', 3)}) / 3)) AS b FROM kv2 JOIN kh2 USING (vec_id) JOIN kv3 USING (vec_id) JOIN kh3 USING (vec_id)"
+    return ", " + ", ".join(parts) + f", j AS ({body}) SELECT vec_id, round(CASE WHEN flat THEN NULL WHEN n > 1 AND abs(a - b) < 1 THEN (a + b) / 2 ELSE a END, 6) AS angle FROM j"
+
+
+_sql("i5_region_angles", ["grid"], _region_angles())
 _sql("i3_total_variation", ["grid"], "SELECT vec_id, round(sum(abs(d)), 6) AS tv FROM (SELECT vec_id, z - lag(z) OVER (PARTITION BY vec_id ORDER BY r, c) AS d FROM grid) GROUP BY vec_id")
 _sql("i4_peaks", ["grid"], ", s AS (SELECT vec_id, r * 8 + c AS s, z, z > lag(z) OVER w AND z > lead(z) OVER w AS top FROM grid WINDOW w AS (PARTITION BY vec_id ORDER BY r, c)), t AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY z DESC, s) AS first_, bool_or(coalesce(top, false)) OVER (PARTITION BY vec_id) AS any_ FROM s) SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY z DESC, s) AS INT) AS rank, s, round(z, 6) AS value FROM t WHERE coalesce(top, false) OR (NOT any_ AND first_ = 1)")
 _LET["ra"] = "SELECT region_set, angle, avg(angle) OVER w AS m, stddev_pop(angle) OVER w AS s, count(*) OVER w AS n FROM ang WINDOW w AS (PARTITION BY region_set)"

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagelayout.functions.workers import ship
+
 COMPONENTS = "array<struct<comp_id:int,x:int,y:int,w:int,h:int,area:int>>"
 
 
@@ -47,6 +49,7 @@ def ink_components(gray: np.ndarray) -> list[dict]:
 
 def with_components(crops: DataFrame, name: str = "components") -> DataFrame:
     """Gray crops with the array of their ink components."""
+    ship(crops.sparkSession)
     at = [crops.columns.index(c) for c in ("pixels", "h", "w")]
 
     def run(batches):

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagelayout.functions.workers import ship
+
 
 def cross_correlation(cells: DataFrame, key: str, d: int, s_range: int, horizontal: bool = False) -> DataFrame:
     """(key, s, value): mean over column (row) pairs d apart of the summed products of z scores, at shift s.
@@ -140,6 +142,7 @@ def image_angle(gray: np.ndarray, d: int, s_range: int, d_second: int | None = N
 
 def crop_angles(crops: DataFrame, d: int, s_range: int, d_second: int | None = None, name: str = "angle") -> DataFrame:
     """I5 for gray crops (pixels, h, w): adds the angle, null where none shows."""
+    ship(crops.sparkSession)
     at = [crops.columns.index(c) for c in ("pixels", "h", "w")]
 
     def run(batches):

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pagelayout.functions.workers import ship
 from pagelayout.schema import ANALYSER_CLASS_ID
 
 REQUIRED = ("image_width", "image_height", "background_color", "skew_angle", "is_toc", "left_margin", "right_margin", "blocks")
@@ -66,6 +67,7 @@ def through(rows: DataFrame, connect: Callable[[], Callable[[pd.DataFrame], pd.D
         for batch in batches:
             yield call(batch)
 
+    ship(rows.sparkSession)
     return rows.mapInPandas(run, schema)
 
 

@@ -3,28 +3,22 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
 
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
-import pagelayout
+from pagelayout.functions.workers import ship
 
 
 def prepare(spark: SparkSession) -> None:
     """Make worker functions importable and Arrow batches small.
 
     Texts can be long, so a batch has at most 500 rows and 16 MB unless the
-    session says less. Where Python workers can't import this package (it is
-    neither installed nor on PYTHONPATH), its functions travel by value.
+    session says less.
     """
-    root = os.path.dirname(os.path.dirname(os.path.abspath(pagelayout.__file__)))
-    path = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in path and os.getcwd() != root and "site-packages" not in root:
-        cloudpickle.register_pickle_by_value(pagelayout)
+    ship(spark)
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 500), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
         try:
             now = int(spark.conf.get(key).rstrip("bB"))

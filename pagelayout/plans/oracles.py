@@ -195,6 +195,12 @@ _sql("f1_tall_words", ["tall"], "SELECT page_id, word_id FROM tall")
 _sql("f2_line_edges", ["edge"], "SELECT page_id, count(*) AS n, sum(a)::BIGINT AS a_sum, sum(b)::BIGINT AS b_sum FROM edge GROUP BY page_id")
 _sql("f3_line_components", ["lcomp"], "SELECT * FROM lcomp", recursive=True)
 _sql("f4_text_lines", ["lcomp"], ", w AS (SELECT t.*, component, min(y1) OVER (PARTITION BY t.page_id, component) AS top FROM tall t JOIN lcomp l ON l.page_id = t.page_id AND l.word_id = t.word_id) SELECT page_id, CAST(dense_rank() OVER (PARTITION BY page_id ORDER BY top, component) AS INT) AS line, CAST(row_number() OVER (PARTITION BY page_id, component ORDER BY x1, word_id) AS INT) AS pos, word_id FROM w", recursive=True)
+_LET["lined"] = "SELECT t.*, CAST(dense_rank() OVER (PARTITION BY page_id ORDER BY top, component) AS INT) AS line FROM (SELECT t.*, component, min(y1) OVER (PARTITION BY t.page_id, component) AS top FROM tall t JOIN lcomp l ON l.page_id = t.page_id AND l.word_id = t.word_id) t"
+_LET["spans"] = "SELECT page_id, list([{'t': t, 'b': b, 'ids': [line], 'm': false}] ORDER BY line) AS g, least(30.0::DOUBLE, 0.8::DOUBLE * (arg_max(t + b, line) - arg_min(t + b, line)) / 2 / nullif(count(*) - 1, 0)) AS thr FROM (SELECT page_id, line, min(y1) AS t, max(y2) AS b FROM lined GROUP BY page_id, line) GROUP BY page_id"
+_LET["passes"] = "SELECT page_id, 0 AS k, g, thr FROM spans UNION ALL SELECT page_id, k + 1, [[{'t': z.t, 'b': z.b, 'ids': z.ids, 'm': false}] FOR z IN list_reduce(g, LAMBDA a, y: CASE WHEN NOT a[-1].m AND abs((y[1].t + y[1].b) / 2 - (a[-1].t + a[-1].b) / 2) <= thr THEN list_append(a[1:len(a) - 1], {'t': least(a[-1].t, y[1].t), 'b': greatest(a[-1].b, y[1].b), 'ids': list_concat(a[-1].ids, y[1].ids), 'm': true}) ELSE list_concat(a, y) END)], thr FROM passes WHERE k < 10"
+_LET["merged"] = "SELECT page_id, n AS line, unnest(ids) AS old FROM (SELECT page_id, generate_subscripts(g, 1) AS n, unnest([x[1].ids FOR x IN g]) AS ids FROM passes WHERE k = 10)"
+_NEEDS |= {"lined": ["lcomp"], "spans": ["lined"], "passes": ["spans"], "merged": ["passes"]}
+_sql("f5_merge_close_lines", ["merged"], "SELECT w.page_id, CAST(m.line AS INT) AS line, CAST(row_number() OVER (PARTITION BY w.page_id, m.line ORDER BY x1, w.line, w.word_id) AS INT) AS pos, w.word_id FROM lined w JOIN merged m ON m.page_id = w.page_id AND m.old = w.line", recursive=True)
 _sql("g1_line_sessions", ["ses"], "SELECT page_id, word_id, line FROM ses")
 _sql("g2_clamp_words", ["ses"], ", m AS (SELECT *, least(median(y2 - y1) OVER (PARTITION BY page_id, line), med) / 2 * 1.15::DOUBLE AS half, (y1 + y2) / 2 AS cy FROM ses), t AS (SELECT *, greatest(y1, CAST(trunc(cy - half) AS INT)) AS a, least(y2, CAST(trunc(cy + half) AS INT)) AS b FROM m) SELECT page_id, word_id, line, CASE WHEN b > a THEN a ELSE y1 END AS y1, CASE WHEN b > a THEN b ELSE y2 END AS y2 FROM t")
 _sql("g14_paragraph_starts", ["para"], "SELECT page_id, line, x1, para_start FROM para")

@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 from pagelayout.llm import bpe, decontaminate, folds, jaccard_join, language_id, secrets
 from pagelayout.llm.annotate import free_name
 from pagelayout.llm.queries import read, vocabulary
-from pagelayout.llm.store import Scratch
+from pagelayout.llm.store import Scratch, broadcast_if_small
 
 #: A document stays if its language is known with this much confidence: little over chance.
 LEAST_LANGUAGE_SCORE = 0.3
 #: What stands for a secret in the text.
 MARK = "[SECRET]"
+#: Ids (8 bytes each) that are sent to all executors rather than joined by an exchange of the texts.
+SMALL_IDS = 1_000_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,10 +38,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows of one doc_id stay or go together, and equal ones among them stay once. Null
     ids are no group's least: they stay only where no other document is linked.
     """
-    groups = Scratch(spark, "near-duplicates").save(jaccard_join.jaccard_components(docs), "groups")
+    scratch = Scratch(spark, "near-duplicates")
+    groups = scratch.save(jaccard_join.jaccard_components(docs), "groups")
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
     ids = groups.groupBy(F.col("doc_id").alias("_id")).agg(F.max(first).alias("stays"), F.count("*").alias("rows"))
-    kept = docs.join(ids.where(~F.col("stays")).select("_id"), docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+    gone = broadcast_if_small(scratch.save(ids.where(~F.col("stays")).select("_id"), "gone"), SMALL_IDS)
+    kept = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
     repeated = ids.where("stays AND rows > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
 

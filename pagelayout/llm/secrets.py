@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .annotate import free_name
-from .store import Scratch
+from .store import Scratch, broadcast_if_small
 
 SPAN = "array<struct<start:int,kind_order:int,kind:string,end:int>>"
 
@@ -50,6 +50,8 @@ RULES = (
 )
 #: Changes whenever a rule does: it is half of the ledger's key.
 RULE_VERSION = "1"
+#: Findings (some hundred bytes each) that are sent to all executors rather than joined by an exchange of the versions.
+SMALL_SPANS = 200_000
 
 
 def rule_spans(text: Column, rule: Rule, order: int) -> Column:
@@ -114,6 +116,7 @@ def scan_versions(versions: DataFrame, ledger: str | None = None, text: str = "t
     entries = spark.read.schema(schema).parquet(ledger).where(F.col("rule_version") == rule_version)
     # blobs without findings need no partner: most paths then meet nothing
     found = entries.where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+    found = broadcast_if_small(found, SMALL_SPANS, F.size("_spans") + 1)
     out, key = free_name(versions, name), free_name(versions, "_content")
     keyed = versions.withColumn(key, F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256))
     joined = keyed.join(found, F.col(key) == F.col("_blob"), "left")

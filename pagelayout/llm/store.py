@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pagelayout.functions.workers import ship
 
@@ -39,6 +40,12 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def broadcast_if_small(df: DataFrame, most: int, weight: Column | None = None) -> DataFrame:
+    """`df`, marked for broadcast if its rows (or the sum of `weight`) are at most `most`; else joins exchange both sides."""
+    size = df.agg(F.count("*") if weight is None else F.sum(weight)).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
+
+
 class Scratch:
     """Tables written under one folder of the shared directory.
 

@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 from .annotate import annotate, free_name
 from .store import prepare
 
-#: Pre-tokens a worker remembers (some two hundred bytes each); then it starts afresh.
-CACHE_PIECES = 300_000
+#: Pre-tokens in each of the two generations that a worker remembers, some two hundred bytes each; when the younger is full, the older goes.
+CACHE_PIECES = 250_000
 #: Pre-tokens of at most this many characters are remembered.
 CACHE_CHARS = 64
 #: Pre-tokens of a text held at once.
@@ -134,6 +134,7 @@ class Encoder:
                 if left is not None and right is not None:
                     self.rank_of[left * self.size + right] = rank
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.long: dict[str, bytes] = {}
 
     def merge(self, pieces: list[bytes]) -> list[bytes]:
@@ -245,9 +246,14 @@ class Encoder:
     def learn(self, pieces: Iterable[str]) -> None:
         """Merge the pieces that aren't remembered."""
         if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
+            self.old, self.cache = self.cache, {}
         self.long.clear()
-        new = [p for p in set(pieces) if p not in self.cache]
+        new = []
+        for p in set(pieces).difference(self.cache):
+            if (ids := self.old.get(p)) is None:
+                new.append(p)
+            else:
+                self.cache[p] = ids
         for p, ids in zip(new, self.merge([p.encode("utf-8") for p in new]), strict=True):
             (self.cache if len(p) <= CACHE_CHARS else self.long)[p] = ids
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import prepare
+from .store import prepare, released
 
 #: Given once a task: a function from a text column to a struct array of as many rows.
 Maker = Callable[[], Callable[[pa.Array], pa.StructArray]]
@@ -38,4 +38,4 @@ def annotate(docs: DataFrame, text: str, make: Maker, fields: T.StructType, name
             found = work(batch.column(at))
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, name])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(released(run), schema)

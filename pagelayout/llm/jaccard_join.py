@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .store import Scratch, prepare
+from .store import Scratch, prepare, release_memory, released
 from .textops import SPACE_WORDS, grams, mix, texts_words
 
 SHINGLE_WORDS = 5
@@ -149,9 +149,12 @@ def _frequent(docs: DataFrame, k: int, n_tokens: int, scratch: Scratch) -> Order
         total = n[np.append(first[1:], len(token))] - n[first]
         often = total >= FREQUENT
         key = (np.uint64(table.column("part")[0].as_py()) << np.uint64(32)) | token[first[often]].astype(np.uint64)
-        return pa.table({"token": pa.array(key.view(np.int64)), "n": pa.array(total[often])})
+        found = pa.table({"token": pa.array(key.view(np.int64)), "n": pa.array(total[often])})
+        del token, n, order
+        release_memory()
+        return found
 
-    parts = docs.mapInArrow(gather, "part int, tokens binary, at binary, n binary")
+    parts = docs.mapInArrow(released(gather), "part int, tokens binary, at binary, n binary")
     often = scratch.save(parts.groupBy("part").applyInArrow(count, "token long, n long"), "frequent")
     mark, size = FREQUENT, often.count()
     while size > MAX_FREQUENT:
@@ -174,7 +177,7 @@ def _describe(docs: DataFrame, k: int) -> DataFrame:
                 sid[r] = set_id(tokens) if len(tokens) else 0
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(sid)], names=["key", "n", "sid"])
 
-    return docs.mapInArrow(run, docs.select("key").schema.add("n", "long").add("sid", "long"))
+    return docs.mapInArrow(released(run), docs.select("key").schema.add("n", "long").add("sid", "long"))
 
 
 def _entries(docs: DataFrame, k: int, percent: int, orders, n_tokens: int, scratch: Scratch) -> DataFrame:
@@ -244,7 +247,7 @@ def _entries(docs: DataFrame, k: int, percent: int, orders, n_tokens: int, scrat
         token, sid, n, flag = (np.concatenate(x) for x in zip(*out, strict=True))
         return pa.table({"token": pa.array(token.view(np.int64)), "sid": pa.array(sid), "n": pa.array(n.astype(np.int32)), "frequent": pa.array(flag)})
 
-    parts = docs.mapInArrow(run, "part int, token binary, sid binary, n binary")
+    parts = docs.mapInArrow(released(run), "part int, token binary, sid binary, n binary")
     return scratch.save(parts.groupBy("part").applyInArrow(keep, "token long, sid long, n int, frequent boolean"), "entries")
 
 
@@ -285,7 +288,7 @@ def _live_sets(docs: DataFrame, live: DataFrame, k: int, percent: int, orders, s
                     x.append(np.sort(tokens[own.prefix(tokens, order, percent, frequency)]).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int64(), *[pa.binary()] * 3), strict=True)], names=["sid", "tokens", "second", "third"])
 
-    sets = docs.mapInArrow(run, "sid long, tokens binary, second binary, third binary")
+    sets = docs.mapInArrow(released(run), "sid long, tokens binary, second binary, third binary")
     return scratch.save(sets.groupBy("sid").agg(*(F.first(c).alias(c) for c in ("tokens", "second", "third"))), "sets")
 
 
@@ -343,7 +346,7 @@ def _links(members: DataFrame, spokes: DataFrame, sets: DataFrame, percent: int)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
 
     both = blocked(members, "members").join(blocked(spokes, "spokes"), "hub").select("members", "spokes")
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(released(run), "a long, b long")
 
 
 def _fits(n: str, least: str, most: str, percent: int) -> Column:

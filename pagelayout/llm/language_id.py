@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from .annotate import annotate, free_name
 from .folds import thinned
-from .store import prepare
+from .store import prepare, released
 from .vectors import sum_vectors
 
 BUCKET_BITS = 16
@@ -179,7 +179,7 @@ def _sample(learn: DataFrame, key: str, text: str, lang: str, share: Column) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a.astype(np.uint16).tobytes() for a, _ in grams], pa.binary()), pa.array([c.astype(np.uint32).tobytes() for _, c in grams], pa.binary())], names=["lang", "at", "count"])
 
     some = thinned(learn, key, share).select(F.col(lang).cast("string"), F.col(text).cast("string"))
-    rows = some.mapInArrow(run, "lang string, at binary, count binary").collect()
+    rows = some.mapInArrow(released(run), "lang string, at binary, count binary").collect()
     rows.sort(key=lambda r: (r.lang, bytes(r.at), bytes(r["count"])))
     return [(r.lang, np.frombuffer(r.at, np.uint16).astype(np.int64), np.frombuffer(r["count"], np.uint32)) for r in rows]
 

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +34,26 @@ def prepare(spark: SparkSession) -> None:
                 raise
 
 
+def release_memory() -> None:
+    """Give a worker's free memory back to the system: workers are kept for later tasks, and so is what they hold."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not the GNU library
+        pass
+
+
+def released(run: Callable) -> Callable:
+    """`run`, a generator over a task's batches, that gives memory back when it ends."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        release_memory()
+
+    return wrapped
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; a temporary one of this process only where none is named."""
     where = spark.conf.get("spark.checkpoint.dir", None)

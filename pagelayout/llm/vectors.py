@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import released
+
 #: Entries of a vector that one group adds up.
 PIECE = 4096
 #: Tasks whose vectors are added in the first of two rounds.
@@ -32,7 +34,7 @@ def sum_vectors(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
         return pa.table({"piece": table.column("piece")[:1], "part": pa.array([np.sum(parts, axis=0).tobytes()], pa.binary())})
 
     schema = "piece int, part binary"
-    pieces = df.mapInArrow(gather, schema)
+    pieces = df.mapInArrow(released(gather), schema)
     # which first-round group a task's pieces join doesn't matter to the sum
     first = pieces.withColumn("round", F.floor(F.spark_partition_id() / ROUND)).groupBy("round", "piece").applyInArrow(lambda t: add(t.select(["piece", "part"])), schema)
     total = np.zeros(size, dtype=np.int64)

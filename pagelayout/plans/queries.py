@@ -608,7 +608,7 @@ def j5_clamped_crops(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def j6_joined_text(spark: SparkSession, sf: str) -> DataFrame:
-    parts = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "text")).where("ln < 3")
+    parts = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "text"))
     return text.joined(parts, "doc_id", "ln")
 
 

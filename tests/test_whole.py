@@ -30,3 +30,11 @@ def test_joined_text_has_every_line(spark, duck):
     docs = duck.execute("SELECT doc_id, text FROM documents").df()
     docs["text"] = [" ".join(x.strip(" ") for x in t.split("\n") if x.strip(" ")) for t in docs["text"]]
     assert_equal(rows, docs)
+
+
+@pytest.mark.parametrize("name", ["a10_answered_blocks", "a10_answered_words"])
+def test_answers_have_every_detection(spark, duck, name):
+    whole = ORACLES[name].replace("det_id <= 12 AND ", "")
+    rows = QUERIES[name](spark, SF).toPandas()
+    assert rows.iloc[:, 1].max() > 12
+    assert_equal(rows, duck.execute(whole).df())

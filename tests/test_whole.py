@@ -38,3 +38,13 @@ def test_answers_have_every_detection(spark, duck, name):
     rows = QUERIES[name](spark, SF).toPandas()
     assert rows.iloc[:, 1].max() > 12
     assert_equal(rows, duck.execute(whole).df())
+
+
+@pytest.mark.parametrize("name", ["j7_language_profiles", "j7_classified"])
+def test_languages_are_learnt_from_and_told_for_every_document(spark, duck, name):
+    whole = ORACLES[name].replace(" WHERE doc_id % 5 <> 0", "").replace(" WHERE doc_id % 5 = 0", "")
+    assert "% 5" not in whole
+    rows = QUERIES[name](spark, SF).toPandas()
+    if name == "j7_classified":
+        assert len(rows) == duck.execute("SELECT count(*) FROM documents").fetchone()[0]
+    assert_equal(rows, duck.execute(whole).df())

@@ -147,13 +147,13 @@ def cells(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def c11_map_components(spark: SparkSession, sf: str) -> DataFrame:
-    return decode.map_components(cells(spark, sf), 0.8)
+    return decode.map_components(cells(spark, sf), 0.5)
 
 
 @query
 def c14_rect_scores(spark: SparkSession, sf: str) -> DataFrame:
     px = cells(spark, sf)
-    return rounded(decode.rect_scores(decode.map_components(px, 0.8), px, 0.5), "score")
+    return rounded(decode.rect_scores(decode.map_components(px, 0.5), px, 0.5), "score")
 
 
 @query

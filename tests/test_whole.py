@@ -48,3 +48,9 @@ def test_languages_are_learnt_from_and_told_for_every_document(spark, duck, name
     if name == "j7_classified":
         assert len(rows) == duck.execute("SELECT count(*) FROM documents").fetchone()[0]
     assert_equal(rows, duck.execute(whole).df())
+
+
+@pytest.mark.parametrize("name", ["c11_map_components", "c14_rect_scores"])
+def test_maps_are_cut_where_fixtures_say(spark, duck, name):
+    whole = ORACLES[name].replace("p >= 0.8", "p >= 0.5")
+    assert_equal(QUERIES[name](spark, SF).toPandas(), duck.execute(whole).df())

@@ -442,8 +442,13 @@ def regions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def paged_regions(spark: SparkSession, sf: str) -> DataFrame:
-    """Regions on the first pages of documents."""
-    return regions(spark, sf).withColumn("page_id", F.col("page_id") * 1000)
+    """Regions on every page of documents: page k of document d has those of page d + k, counted round."""
+    r = regions(spark, sf).withColumnRenamed("page_id", "own_page")
+    docs = table(spark, sf, "documents").select("doc_id", F.aggregate(F.split("text", "\n"), F.lit(0).cast("long"), lambda n, x: n + 1 + F.floor(F.length(x) / 80)).alias("rows"))
+    pages = docs.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / 60))).alias("k"))
+    n = r.agg((F.max("own_page") + 1).alias("n"))
+    pages = pages.crossJoin(F.broadcast(n)).select((F.col("doc_id") * 1000 + F.col("k")).alias("page_id"), ((F.col("doc_id") + F.col("k")) % F.col("n")).alias("own_page"))
+    return pages.join(r, "own_page").drop("own_page")
 
 
 @query

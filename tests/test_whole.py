@@ -5,7 +5,8 @@ import pandas as pd
 import pytest
 
 from pagelayout.plans.oracles import ORACLES
-from pagelayout.plans.queries import QUERIES
+from pagelayout.plans.queries import QUERIES, regions
+from pagelayout.sources import fixtures
 
 SF = "/root/testdata/sf0.001"
 
@@ -54,3 +55,23 @@ def test_languages_are_learnt_from_and_told_for_every_document(spark, duck, name
 def test_maps_are_cut_where_fixtures_say(spark, duck, name):
     whole = ORACLES[name].replace("p >= 0.8", "p >= 0.5")
     assert_equal(QUERIES[name](spark, SF).toPandas(), duck.execute(whole).df())
+
+
+def test_words_of_every_page_meet_regions(spark, duck):
+    rows = QUERIES["h4_words_in_regions"](spark, SF).toPandas()
+    words, own = fixtures.word_boxes(spark, SF).toPandas(), regions(spark, SF).toPandas()
+    n = own["page_id"].max() + 1
+    words["own_page"] = (words["page_id"] // 1000 + words["page_id"] % 1000) % n
+    m = words.merge(own.rename(columns={"page_id": "own_page"}), on="own_page", suffixes=("", "_r"))
+    x, y = m["x1"] + m["x2"], m["y1"] + m["y2"]
+    m = m[(x >= 2 * m["x1_r"]) & (x <= 2 * m["x2_r"]) & (y >= 2 * m["y1_r"]) & (y <= 2 * m["y2_r"])]
+    for c in ("x", "y"):
+        m = m.assign(**{f"{c}2": m[f"{c}2"] - m[f"{c}1_r"], f"{c}1": m[f"{c}1"] - m[f"{c}1_r"]})
+    assert (rows["page_id"] % 1000 > 0).any()
+    assert_equal(rows, m[list(rows.columns)])
+
+
+def test_padded_words_are_on_the_same_pages(spark):
+    met = {tuple(x) for x in QUERIES["h4_words_in_regions"](spark, SF).select("page_id", "block_id").distinct().collect()}
+    padded = {tuple(x) for x in QUERIES["h5_padded_words"](spark, SF).select("page_id", "block_id").distinct().collect()}
+    assert padded == met and any(p % 1000 for p, _ in padded)

@@ -6,12 +6,31 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import SparkSession
 
 import pagelayout
 
 _shipped: set[str] = set()
+_loaded: dict[str, object] = {}
+X = TypeVar("X")
+
+
+def per_worker(load: Callable[[], X]) -> Callable[[], X]:
+    """`load`, run at most once in a worker process: later tasks there get what it returned. What it raises is raised."""
+    name = uuid.uuid4().hex
+
+    def get() -> X:
+        from pagelayout.functions import workers
+
+        if name not in workers._loaded:
+            workers._loaded[name] = load()
+        return workers._loaded[name]
+
+    return get
 
 
 def ship(spark: SparkSession) -> None:

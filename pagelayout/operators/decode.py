@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelayout.functions.geometry import Box, letterbox, sigmoid, truncated
-from pagelayout.functions.pages import folded
+from pagelayout.functions.pages import folded, per_page_arrays
+from pagelayout.operators.images import cell_labels
 from pagelayout.schema import CLASSES
 
 TOP_K, LEAST_CONF, MAX_IOU = 300, 0.51, 0.45
@@ -81,33 +83,45 @@ def nms(dets: DataFrame, max_iou: float = MAX_IOU) -> DataFrame:
 # Word maps as cells (map_id, r, c, p)
 
 
+def outer_components(r: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(r1, c1, r2, c2, n_cells) of the 8-connected components of cells that no other one encloses.
+
+    What lies outside reaches the frame by steps along the axes; a component is
+    enclosed where it doesn't touch that.
+    """
+    if not len(r):
+        return tuple(np.zeros(0, dtype=np.int32) for _ in range(5))
+    top, left = r.min() - 1, c.min() - 1
+    on = np.zeros((r.max() - top + 2, c.max() - left + 2), dtype=bool)
+    on[r - top, c - left] = True
+    free = cell_labels(~on, False)
+    outside = ~on & (free == free[0, 0])
+    label = cell_labels(on, True)
+    touches = np.zeros_like(on)
+    touches[1:-1, 1:-1] = outside[:-2, 1:-1] | outside[2:, 1:-1] | outside[1:-1, :-2] | outside[1:-1, 2:]
+    rows, cols = np.nonzero(on & np.isin(label, np.unique(label[on & touches])))
+    own, at = np.unique(label[rows, cols], return_inverse=True)
+    low, high = np.full((2, len(own)), on.size), np.full((2, len(own)), -1)
+    for i, x in enumerate((rows + top, cols + left)):
+        np.minimum.at(low[i], at, x)
+        np.maximum.at(high[i], at, x)
+    return (*low, *high, np.bincount(at, minlength=len(own)))
+
+
 def map_components(cells: DataFrame, least: float = 0.1) -> DataFrame:
     """Bounding rectangles (r1..c2 inclusive) of the 8-connected cells of p >= least.
 
-    Rectangles whose corners differ by less than two in either axis go. A component
-    within another's hole counts like any other.
+    Only outer components count: what lies in another's hole goes. So do rectangles
+    whose corners differ by less than two in either axis. A map is a grid of bounded
+    size, its cells numbered by row and column.
     """
-    from pagelayout.functions.pages import per_page
-
-    def work(page: list[dict]) -> list[tuple]:
-        at = {(x["r"], x["c"]) for x in page}
-        out = []
-        while at:
-            stack, seen = [at.pop()], []
-            while stack:
-                r, c = stack.pop()
-                seen.append((r, c))
-                for n in [(r + i, c + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]:
-                    if n in at:
-                        at.remove(n)
-                        stack.append(n)
-            rs, cs = [r for r, _ in seen], [c for _, c in seen]
-            box = (min(rs), min(cs), max(rs), max(cs))
-            if box[2] - box[0] >= 2 and box[3] - box[1] >= 2:
-                out.append((*box, len(seen)))
-        return out
-
-    return per_page(cells.where(F.col("p") >= least).select("map_id", "r", "c"), ["map_id"], ["r", "c"], work, "r1 int, c1 int, r2 int, c2 int, n_cells int")
+
+    def work(page: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+        found = outer_components(page["r"], page["c"])
+        large = (found[2] - found[0] >= 2) & (found[3] - found[1] >= 2)
+        return tuple(x[large] for x in found)
+
+    return per_page_arrays(cells.where(F.col("p") >= least).select("map_id", "r", "c"), ["map_id"], ["r", "c"], work, "r1 int, c1 int, r2 int, c2 int, n_cells int")
 
 
 def rect_scores(rects: DataFrame, cells: DataFrame, least: float = 0.1) -> DataFrame:

@@ -28,18 +28,27 @@ def otsu(gray: np.ndarray) -> int:
         spread = (weighted * below - total * mean) ** 2 / (below * (total - below))
     return int(np.nanargmax(np.where(np.isfinite(spread), spread, -1.0)))
 
+def cell_labels(on: np.ndarray, diagonal: bool) -> np.ndarray:
+    """Each cell of `on` with the least flat index of its component (4- or 8-connected); other cells have `on.size`."""
+    none = on.size
+    label = np.where(on, np.arange(none).reshape(on.shape), none)
+    steps = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if diagonal or not (i and j)]
+    while True:
+        near = np.pad(label, 1, constant_values=none)
+        least = np.minimum.reduce([near[1 + i : 1 + i + on.shape[0], 1 + j : 1 + j + on.shape[1]] for i, j in steps])
+        new = np.where(on, least, none).ravel()
+        # follow labels to labels, so that long components take few rounds
+        new = np.append(new, none)
+        new = new[new][:none].reshape(on.shape)
+        if (new == label).all():
+            return label
+        label = new
+
 
 def ink_components(gray: np.ndarray) -> list[dict]:
     """8-connected components of what is at or below the Otsu threshold, in the order of their first pixel."""
     ink = gray <= otsu(gray)
-    label = np.where(ink, np.arange(1, ink.size + 1).reshape(ink.shape), 0)
-    while True:
-        near = np.pad(np.where(ink, label, ink.size + 1), 1, constant_values=ink.size + 1)
-        views = [near[1 + i : 1 + i + ink.shape[0], 1 + j : 1 + j + ink.shape[1]] for i in (-1, 0, 1) for j in (-1, 0, 1)]
-        new = np.where(ink, np.minimum.reduce(views), 0)
-        if (new == label).all():
-            break
-        label = new
+    label = cell_labels(ink, True)
     out = []
     for n, k in enumerate(np.unique(label[ink]).tolist(), 1):
         r, c = np.nonzero(label == k)

@@ -42,6 +42,12 @@ def sample_words(words: DataFrame, key: str = "page_id", order: str = "word_id",
     return rows.where((F.col("_i") >= low) & (F.col("_i") < high) & (off % step == 0) & (off / step < most)).drop("_n", "_i")
 
 
+def clamped_crops(boxes: DataFrame, page_w: int, page_h: int) -> DataFrame:
+    """Boxes cut to the page; those that keep no area go."""
+    edge = {"x1": F.greatest(F.lit(0), F.col("x1")), "y1": F.greatest(F.lit(0), F.col("y1")), "x2": F.least(F.lit(page_w), F.col("x2")), "y2": F.least(F.lit(page_h), F.col("y2"))}
+    return boxes.withColumns(edge).where("x2 > x1 AND y2 > y1")
+
+
 def joined(parts: DataFrame, key: str, order: str, text: str = "text") -> DataFrame:
     """The texts that aren't blank, trimmed and joined by spaces, in order."""
     trimmed = F.trim(F.col(text))

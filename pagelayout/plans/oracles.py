@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pagelayout.schema import CLASS_ID, CLASSES, LANGUAGES, NON_TEXT_LABELS, TEXT_LABELS
 from pagelayout.sources.fixtures import DETECTIONS, PAGE_H, PAGE_W, WORD_BOXES
+from pagelayout.sources.remote import BOUNDARY
 
 ORACLES: dict[str, str] = {}
 
@@ -123,10 +124,15 @@ _NEEDS |= {"nmsr": ["det"], "nms": ["nmsr"], "nmsk": ["nms"]}
 _sql("c10_nms", ["nmsk"], "SELECT page_id, det_id FROM nmsk", recursive=True)
 _sql("nms_class_counts", ["nmsk"], f"SELECT d.class_id, cl.label, count(*) AS n FROM nmsk JOIN det d USING (page_id, det_id) LEFT JOIN {_LABELS} ON cl.class_id = d.class_id GROUP BY d.class_id, cl.label", recursive=True)
 _LET["px"] = "SELECT vec_id AS map_id, r, c, 1 / (1 + exp(-z)) AS p FROM grid"
-_LET["on_"] = "SELECT map_id, r, c, r * 8 + c AS k FROM px WHERE p >= 0.8"
+_LET["on_"] = "SELECT map_id, r, c, r * 8 + c AS k FROM px WHERE p >= 0.5"
 _LET["reach"] = "SELECT map_id, k, k AS o FROM on_ UNION SELECT f.map_id, f.k, b.k FROM reach f JOIN on_ a ON a.map_id = f.map_id AND a.k = f.o JOIN on_ b ON b.map_id = a.map_id AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1"
-_LET["rects"] = "SELECT map_id, min(r) AS r1, min(c) AS c1, max(r) AS r2, max(c) AS c2, CAST(count(*) AS INT) AS n_cells FROM (SELECT map_id, k, min(o) AS root FROM reach GROUP BY map_id, k) JOIN on_ USING (map_id, k) GROUP BY map_id, root HAVING max(r) - min(r) >= 2 AND max(c) - min(c) >= 2"
-_NEEDS |= {"px": ["grid"], "on_": ["px"], "reach": ["on_"], "rects": ["reach"]}
+# what lies outside every component, within a frame of one cell around the map
+_LET["off_"] = "SELECT m.map_id, a.i AS r, b.i AS c FROM (SELECT DISTINCT map_id FROM on_) m, (SELECT unnest(range(-1, 9)) AS i) a, (SELECT unnest(range(-1, 9)) AS i) b WHERE NOT EXISTS (SELECT 1 FROM on_ o WHERE o.map_id = m.map_id AND o.r = a.i AND o.c = b.i)"
+_LET["air"] = "SELECT DISTINCT map_id, CAST(-1 AS BIGINT) AS r, CAST(-1 AS BIGINT) AS c FROM on_ UNION SELECT o.map_id, o.r, o.c FROM air f JOIN off_ o ON o.map_id = f.map_id AND abs(o.r - f.r) + abs(o.c - f.c) = 1"
+_LET["comps"] = "SELECT map_id, k, min(o) AS root FROM reach GROUP BY map_id, k"
+_LET["outer_"] = "SELECT DISTINCT s.map_id, s.root FROM comps s JOIN on_ o ON o.map_id = s.map_id AND o.k = s.k JOIN air f ON f.map_id = o.map_id AND abs(o.r - f.r) + abs(o.c - f.c) = 1"
+_LET["rects"] = "SELECT map_id, min(r) AS r1, min(c) AS c1, max(r) AS r2, max(c) AS c2, CAST(count(*) AS INT) AS n_cells FROM comps JOIN on_ USING (map_id, k) JOIN outer_ USING (map_id, root) GROUP BY map_id, root HAVING max(r) - min(r) >= 2 AND max(c) - min(c) >= 2"
+_NEEDS |= {"px": ["grid"], "on_": ["px"], "reach": ["on_"], "off_": ["on_"], "air": ["on_", "off_"], "comps": ["reach"], "outer_": ["comps", "on_", "air"], "rects": ["comps", "outer_"]}
 _sql("c11_map_components", ["rects"], "SELECT * FROM rects", recursive=True)
 _sql("c14_rect_scores", ["rects"], "SELECT map_id, r1, c1, r2, c2, round(avg(p), 6) AS score FROM (SELECT DISTINCT map_id, r1, c1, r2, c2 FROM rects) JOIN px USING (map_id) WHERE r BETWEEN r1 AND r2 AND c BETWEEN c1 AND c2 GROUP BY map_id, r1, c1, r2, c2 HAVING avg(p) >= 0.5", recursive=True)
 _sql("c15_unclip", ["det"], ", d AS (SELECT *, CAST(trunc((x2 - x1) * (y2 - y1) * 1.0::DOUBLE / (2 * (x2 - x1 + y2 - y1))) AS INT) AS g FROM det) SELECT page_id, det_id, greatest(0, x1 - g) AS x1, greatest(0, y1 - g) AS y1, least(1024, x2 + g) AS x2, least(1024, y2 + g) AS y2 FROM d")
@@ -249,8 +255,10 @@ _NEEDS |= {"rg": ["reg"], "rm": ["reg"], "rl": ["rg"]}
 _sql("h1_region_gaps", ["rg"], "SELECT page_id, block_id, position, greatest(4, CAST(trunc(up * 1.5) AS INT)) AS gap_before, greatest(4, CAST(trunc(down * 1.5) AS INT)) AS gap_after FROM rg")
 _sql("h2_median_width", ["rm"], "SELECT * FROM rm")
 _sql("h3_margins", [], "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 33 ELSE greatest(10, CAST(trunc(20 * (event_id % 7 / 2) / 2) AS INT)) END AS margin FROM events")
-_LET["wr"] = "SELECT w.page_id, r.block_id, r.label, r.x2 - r.x1 AS rw, r.y2 - r.y1 AS rh, w.word_id, w.x1 - r.x1 AS x1, w.y1 - r.y1 AS y1, w.x2 - r.x1 AS x2, w.y2 - r.y1 AS y2 FROM word w JOIN reg r ON w.page_id = r.page_id * 1000 WHERE w.x1 + w.x2 BETWEEN 2 * r.x1 AND 2 * r.x2 AND w.y1 + w.y2 BETWEEN 2 * r.y1 AND 2 * r.y2"
-_NEEDS["wr"] = ["word", "reg"]
+_LET["dpg"] = "SELECT doc_id, unnest(range(CAST((sum(1 + length(line) // 80) - 1) // 60 + 1 AS BIGINT))) AS k FROM tokl GROUP BY doc_id"
+_LET["preg"] = "SELECT d.doc_id * 1000 + d.k AS page_id, r.* EXCLUDE (page_id) FROM dpg d JOIN reg r ON r.page_id = (d.doc_id + d.k) % (SELECT max(page_id) + 1 FROM reg)"
+_LET["wr"] = "SELECT w.page_id, r.block_id, r.label, r.x2 - r.x1 AS rw, r.y2 - r.y1 AS rh, w.word_id, w.x1 - r.x1 AS x1, w.y1 - r.y1 AS y1, w.x2 - r.x1 AS x2, w.y2 - r.y1 AS y2 FROM word w JOIN preg r ON w.page_id = r.page_id WHERE w.x1 + w.x2 BETWEEN 2 * r.x1 AND 2 * r.x2 AND w.y1 + w.y2 BETWEEN 2 * r.y1 AND 2 * r.y2"
+_NEEDS |= {"dpg": ["tokl"], "preg": ["dpg", "reg"], "wr": ["word", "preg"]}
 _sql("h4_words_in_regions", ["wr"], "SELECT page_id, block_id, word_id, x1, y1, x2, y2 FROM wr")
 _sql("h5_padded_words", ["wr"], ", p AS (SELECT *, CASE WHEN label = 'title' THEN 35 ELSE 5 END AS g, count(*) OVER (PARTITION BY page_id, block_id) AS n FROM wr), q AS (SELECT page_id, block_id, label, n, rw, rh, word_id, greatest(0, x1 - g) AS x1, greatest(0, y1 - g) AS y1, least(rw, x2 + g) AS x2, least(rh, y2 + g) AS y2 FROM p) SELECT page_id, block_id, word_id, x1, y1, x2, y2 FROM q WHERE label <> 'title' OR n = 1 UNION ALL SELECT page_id, block_id, min(word_id), greatest(0, min(x1) - 20), greatest(0, min(y1) - 20), least(rw, max(x2) + 20), least(rh, max(y2) + 20) FROM q WHERE label = 'title' AND n > 1 GROUP BY page_id, block_id, rw, rh")
 _CAPPED = f"label IN {_list((*TEXT_LABELS, 'titled_block_title'))} AND coalesce(last_label IN {_list(NON_TEXT_LABELS)}, false)"
@@ -312,20 +320,32 @@ _sql("j2_ctc_first_blank", ["grid"], _ctc("['','a','b','c','d','e','f',' ']", 0)
 _sql("j3_sample_pages", [], "WITH b AS (SELECT source AS book, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INT) AS page_no, count(*) OVER (PARTITION BY source) AS n FROM documents), r AS (SELECT *, greatest(0, n // 2 - greatest(1, n // 4)) AS lo, least(n, n // 2 + greatest(1, n // 4)) AS hi FROM b), s AS (SELECT *, greatest(1, (hi - lo) // 3) AS step FROM r) SELECT book, page_no FROM s WHERE page_no >= lo AND page_no < hi AND (page_no - lo) % step = 0 AND (page_no - lo) // step < 3")
 _sql("j4_sample_words", ["word"], ", n AS (SELECT page_id, word_id, row_number() OVER (PARTITION BY page_id ORDER BY word_id) - 1 AS i, count(*) OVER (PARTITION BY page_id) AS n FROM word), r AS (SELECT *, CASE WHEN n * 3 // 4 > n // 4 THEN n // 4 ELSE 0 END AS lo, CASE WHEN n * 3 // 4 > n // 4 THEN n * 3 // 4 ELSE n END AS hi FROM n), s AS (SELECT *, greatest(1, (hi - lo) // 20) AS step FROM r) SELECT page_id, word_id FROM s WHERE i >= lo AND i < hi AND (i - lo) % step = 0 AND (i - lo) // step < 20")
 _sql("j5_clamped_crops", ["det"], "SELECT * FROM (SELECT page_id, det_id, greatest(0, x1 - 20) AS x1, greatest(0, y1 - 20) AS y1, least(600, x2) AS x2, least(900, y2) AS y2 FROM det) WHERE x2 > x1 AND y2 > y1")
-_sql("j6_joined_text", ["tokl"], "SELECT doc_id, coalesce(string_agg(trim(line), ' ' ORDER BY ln) FILTER (length(trim(line)) > 0), '') AS text FROM tokl WHERE ln < 3 GROUP BY doc_id")
+_sql("j6_joined_text", ["tokl"], "SELECT doc_id, coalesce(string_agg(trim(line), ' ' ORDER BY ln) FILTER (length(trim(line)) > 0), '') AS text FROM tokl GROUP BY doc_id")
 _LET["pd"] = "SELECT doc_id, lang, string_split(' ' || lower(regexp_replace(text, '\\s+', ' ', 'g')) || ' ', '') AS ch FROM documents"
 _LET["tri"] = "SELECT doc_id, lang, unnest([ch[i] || coalesce(ch[i + 1], '') || coalesce(ch[i + 2], '') FOR i IN range(1, greatest(2, len(ch) - 1))]) AS gram FROM pd"
-_LET["prof"] = "SELECT lang, gram, CAST(row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, gram) AS INT) AS rank FROM tri WHERE doc_id % 5 <> 0 GROUP BY lang, gram QUALIFY rank <= 300"
+_LET["prof"] = "SELECT lang, gram, CAST(row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, gram) AS INT) AS rank FROM tri GROUP BY lang, gram QUALIFY rank <= 300"
 _NEEDS |= {"tri": ["pd"], "prof": ["tri"]}
 _sql("j7_language_profiles", ["prof"], "SELECT lang, gram, rank FROM prof")
-_sql("j7_classified", ["prof"], ", own AS (SELECT doc_id, gram, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, gram) AS mine FROM tri WHERE doc_id % 5 = 0 GROUP BY doc_id, gram QUALIFY mine <= 300), s AS (SELECT doc_id, count(*) AS grams FROM own GROUP BY doc_id), d AS (SELECT o.doc_id, p.lang, sum(abs(mine - rank) - 300) AS saved FROM own o JOIN prof p ON p.gram = o.gram GROUP BY o.doc_id, p.lang), b AS (SELECT doc_id, lang, saved, row_number() OVER (PARTITION BY doc_id ORDER BY saved, lang) AS n FROM d) SELECT s.doc_id, coalesce(b.lang, 'en') AS lang, CAST(grams * 300 + coalesce(saved, 0) AS BIGINT) AS distance FROM s LEFT JOIN b ON b.doc_id = s.doc_id AND b.n = 1")
+_sql("j7_classified", ["prof"], ", own AS (SELECT doc_id, gram, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, gram) AS mine FROM tri GROUP BY doc_id, gram QUALIFY mine <= 300), s AS (SELECT doc_id, count(*) AS grams FROM own GROUP BY doc_id), d AS (SELECT o.doc_id, p.lang, sum(abs(mine - rank) - 300) AS saved FROM own o JOIN prof p ON p.gram = o.gram GROUP BY o.doc_id, p.lang), b AS (SELECT doc_id, lang, saved, row_number() OVER (PARTITION BY doc_id ORDER BY saved, lang) AS n FROM d) SELECT s.doc_id, coalesce(b.lang, 'en') AS lang, CAST(grams * 300 + coalesce(saved, 0) AS BIGINT) AS distance FROM s LEFT JOIN b ON b.doc_id = s.doc_id AND b.n = 1")
 _sql("j8_confidence", [], f"SELECT event_id, CASE iso WHEN 'no' THEN 'nb' ELSE CASE WHEN iso IN {_list(LANGUAGES)} THEN iso ELSE 'en' END END AS app_lang, round(greatest(0.0, least(1.0, 1 - value * 7 / 500)), 6) AS confidence FROM (SELECT *, ['en', 'no', 'xx', 'fr'][event_id % 4 + 1] AS iso FROM events)")
 _sql("a1_render_size", ["raw"], "SELECT DISTINCT page_id, CAST(trunc(img_w * 150 / CASE WHEN page_id % 2 = 0 THEN 72 ELSE 300 END) AS INT) AS w, CAST(trunc(img_h * 150 / CASE WHEN page_id % 2 = 0 THEN 72 ELSE 300 END) AS INT) AS h FROM raw")
 _sql("a3_documents", [], "SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'pdf' ELSE 'djvu' END AS kind, unnest(range(page_id % 4)) AS page_no FROM pages WHERE page_id % 5 IN (0, 1, 2)")
 _sql("a6_content_type", [], "SELECT page_id, CASE WHEN page_id % 4 IN (0, 1) THEN 'image/jpeg' ELSE 'image/png' END AS content_type FROM pages")
 _sql("a9_health", [], "SELECT event_id, event_id % 10 <> 0 AND coalesce(json_extract_string(props, '$.k') = '3', false) AS healthy FROM events")
-_ANSWERED = "FROM lab WHERE det_id <= 12 AND page_id % 7 <> 0"
+_ANSWERED = "FROM lab WHERE page_id % 7 <> 0"
 _sql("a10_answered_blocks", ["lab"], f"SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY det_id) AS INT) AS det_id, CASE WHEN det_id % 5 = 0 THEN 'sidebar' ELSE label END AS label, CASE WHEN det_id % 5 = 0 THEN 1 ELSE class_id END AS class_id, 1.0::DOUBLE AS conf, x1, y1, x2, y2 {_ANSWERED}")
 _sql("a10_answered_words", ["lab"], f", w AS (SELECT *, row_number() OVER (PARTITION BY page_id, CASE WHEN page_id % 2 = 0 THEN det_id ELSE 0 END, x1, y1, x2, y2 ORDER BY det_id) AS copy {_ANSWERED}) SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY det_id) AS INT) AS word_id, x1, y1, x2, y2 FROM w WHERE copy = 1")
 _sql("a12_manifest_gaps", [], "WITH f AS (SELECT url AS name, max(length(html)) AS size, max(page_id) AS page_id FROM pages GROUP BY url) SELECT name, size, CASE WHEN page_id % 3 <> 0 THEN size + CASE WHEN page_id % 4 = 0 THEN 1 ELSE 0 END END AS found FROM f WHERE page_id % 3 = 0 OR page_id % 4 = 0")
 _sql("a13_settings", [], "SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN CAST(json_extract_string(props, '$.k') AS INT) END AS k FROM events")
+
+
+# requests to a remote analyser
+_sql("a4_page_address", [], "SELECT page_id, 'http://localhost:8000/page?page_width=' || (1000 + page_id % 3 * 500) || '&zoom_factor=2.5&bin=' || CASE WHEN page_id % 2 = 0 THEN 'true' ELSE 'false' END || '&toc_algorithm=layoutlm' || CASE page_id % 4 WHEN 0 THEN '&lang=en' WHEN 1 THEN '&lang=zh-Hans' ELSE '' END AS url FROM pages")
+_sql("a6_multipart", [], f"WITH f AS (SELECT *, ['JPG', 'jpeg', 'png', ''][page_id % 4 + 1] AS e FROM pages), b AS (SELECT page_id, '--{BOUNDARY}' || chr(13) || chr(10) || 'Content-Disposition: form-data; name=\"image\"; filename=\"p' || page_id || CASE WHEN e = '' THEN '' ELSE '.' || e END || '\"' || chr(13) || chr(10) || 'Content-Type: image/' || CASE WHEN lower(e) IN ('jpg', 'jpeg') THEN 'jpeg' ELSE 'png' END || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || '--{BOUNDARY}--' || chr(13) || chr(10) AS body FROM f) SELECT page_id, sha256(body) AS sha256, CAST(strlen(body) AS BIGINT) AS size FROM b")
+_sql("a7_ocr_address", [], "SELECT page_id, 'http://localhost:8000/ocr_page?no_pix2tex=' || CASE WHEN page_id % 2 = 1 THEN 'true' ELSE 'false' END || '&cache_key=' || CASE WHEN page_id % 3 <> 0 THEN 'k' || page_id ELSE '' END AS url FROM pages")
+_sql("a8_stream_tickets", [], "SELECT event_id, CASE WHEN whole THEN '/stream/' || event_id END AS stream_url, CASE WHEN whole THEN 't' || event_id END AS token, NOT whole AS missing FROM (SELECT event_id, event_id % 5 <> 0 AND event_id % 7 <> 0 AND event_id % 11 <> 0 AND event_id % 13 <> 0 AS whole FROM events)")
+_sql("a13_saved_settings", [], "SELECT event_id, '{\"page\":' || user_id || CASE WHEN event_id % 3 <> 0 THEN ',\"lang\":\"' || event_type || '\"' ELSE '' END || '}' AS text FROM events")
+_LET["ink"] = "SELECT vec_id AS map_id, r, c, r * 8 + c AS k FROM grid WHERE z >= 0 OR vec_id IN (SELECT vec_id FROM grid GROUP BY vec_id HAVING max(z) < 0)"
+_LET["spill"] = "SELECT map_id, k, k AS o FROM ink UNION SELECT f.map_id, f.k, b.k FROM spill f JOIN ink a ON a.map_id = f.map_id AND a.k = f.o JOIN ink b ON b.map_id = a.map_id AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1"
+_NEEDS |= {"ink": ["grid"], "spill": ["ink"]}
+_sql("b10_ink_components", ["spill"], ", s AS (SELECT map_id, k, min(o) AS root FROM spill GROUP BY map_id, k) SELECT map_id AS vec_id, CAST(row_number() OVER (PARTITION BY map_id ORDER BY root) AS INT) AS comp_id, min(c) AS x, min(r) AS y, max(c) - min(c) + 1 AS w, max(r) - min(r) + 1 AS h, CAST(count(*) AS INT) AS area FROM s JOIN ink USING (map_id, k) GROUP BY map_id, root", recursive=True)

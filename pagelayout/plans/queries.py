@@ -9,7 +9,7 @@ from pagelayout.functions import geometry as g
 from pagelayout.functions.geometry import BOX, Box
 from pagelayout.operators import blocks, decode, images, letters, lines, reflow, skew, text
 from pagelayout.schema import layout_classes
-from pagelayout.sources import analyser, fixtures
+from pagelayout.sources import analyser, fixtures, remote
 from pagelayout.sources.fixtures import PAGE_H, PAGE_W, table
 
 QUERIES = {}
@@ -58,6 +58,15 @@ def b5_background(spark: SparkSession, sf: str) -> DataFrame:
     return images.background(px)
 
 
+@query
+def b10_ink_components(spark: SparkSession, sf: str) -> DataFrame:
+    """B10 over gray crops of 8 by 8: each is dark where its map is high."""
+    gray = fixtures.grid(spark, sf).select("vec_id", "r", "c", F.when(F.col("z") >= 0, 20).otherwise(200).alias("v"))
+    crops = gray.groupBy("vec_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "c", "v"))), lambda x: x["v"]).alias("v"))
+    crops = crops.select("vec_id", F.unhex(F.array_join(F.transform("v", lambda x: F.lpad(F.hex(x), 2, "0")), "")).alias("pixels"), F.lit(8).alias("h"), F.lit(8).alias("w"))
+    return images.with_components(crops).select("vec_id", F.explode("components").alias("k")).select("vec_id", "k.*")
+
+
 @query
 def b7_zoom_crop(spark: SparkSession, sf: str) -> DataFrame:
     d = fixtures.detections(spark, sf)
@@ -607,8 +616,8 @@ def j4_sample_words(spark: SparkSession, sf: str) -> DataFrame:
 def j5_clamped_crops(spark: SparkSession, sf: str) -> DataFrame:
     """Crops within a page of 600 by 900; empty ones go."""
     d = fixtures.detections(spark, sf)
-    low, high = lambda c: F.greatest(F.lit(0), F.col(c) - 20), lambda c, n: F.least(F.lit(n), F.col(c))
-    return d.select("page_id", "det_id", low("x1").alias("x1"), low("y1").alias("y1"), high("x2", 600).alias("x2"), high("y2", 900).alias("y2")).where("x2 > x1 AND y2 > y1")
+    moved = d.select("page_id", "det_id", (F.col("x1") - 20).alias("x1"), (F.col("y1") - 20).alias("y1"), "x2", "y2")
+    return text.clamped_crops(moved, 600, 900)
 
 
 @query
@@ -657,6 +666,41 @@ def a3_documents(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("page_id", analyser.document_kind(F.col("path")).alias("kind"), "page_no")
 
 
+SERVER = "http://localhost:8000/"
+
+
+@query
+def a4_page_address(spark: SparkSession, sf: str) -> DataFrame:
+    """A4, A5."""
+    n = F.col("page_id")
+    lang = F.element_at(F.array(F.lit("en"), F.lit("zh-Hans"), F.lit(""), F.lit(None)), (n % 4 + 1).cast("int"))
+    return table(spark, sf, "pages").select("page_id", remote.page_address(SERVER, 1000 + n % 3 * 500, F.lit("2.5"), lang, n % 2 == 0, F.lit("layoutlm")).alias("url"))
+
+
+@query
+def a6_multipart(spark: SparkSession, sf: str) -> DataFrame:
+    """The body around a page's bytes, by its hash and size."""
+    name = F.concat(F.lit("p"), F.col("page_id"), F.element_at(F.array(*(F.lit(x) for x in (".JPG", ".jpeg", ".png", ""))), (F.col("page_id") % 4 + 1).cast("int")))
+    body = remote.multipart(F.encode("html", "UTF-8"), name)
+    return table(spark, sf, "pages").select("page_id", F.sha2(body, 256).alias("sha256"), F.octet_length(body).cast("long").alias("size"))
+
+
+@query
+def a7_ocr_address(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.when(F.col("page_id") % 3 != 0, F.concat(F.lit("k"), F.col("page_id")))
+    return table(spark, sf, "pages").select("page_id", remote.ocr_address(SERVER, F.col("page_id") % 2 == 1, key).alias("url"))
+
+
+@query
+def a8_stream_tickets(spark: SparkSession, sf: str) -> DataFrame:
+    """Tickets of answers, some without a token, with an empty one, or broken."""
+    n = F.col("event_id")
+    url = F.when(n % 5 != 0, F.concat(F.lit("/stream/"), n))
+    token = F.when(n % 7 == 0, "").when(n % 11 != 0, F.concat(F.lit("t"), n))
+    body = F.when(n % 13 == 0, "{").otherwise(F.to_json(F.struct(url.alias("stream_url"), token.alias("token"))))
+    return remote.stream_tickets(table(spark, sf, "events").select("event_id", body.alias("answer"))).drop("answer")
+
+
 @query
 def a6_content_type(spark: SparkSession, sf: str) -> DataFrame:
     name = F.concat(F.lit("p.x"), F.element_at(F.array(*(F.lit(x) for x in (".JPG", ".jpeg", ".png", ""))), (F.col("page_id") % 4 + 1).cast("int")))
@@ -703,6 +747,13 @@ def a12_manifest_gaps(spark: SparkSession, sf: str) -> DataFrame:
     return analyser.manifest_gaps(one.select("name", "size"), actual)
 
 
+@query
+def a13_saved_settings(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    values = F.struct(F.col("user_id").alias("page"), F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("lang"))
+    return e.select("event_id", analyser.settings_text(values).alias("text"))
+
+
 @query
 def a13_settings(spark: SparkSession, sf: str) -> DataFrame:
     body = F.when(F.col("event_id") % 10 == 0, "{broken").otherwise(F.col("props"))

@@ -55,7 +55,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def through(rows: DataFrame, connect: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
-    """Rows passed to a renderer, model or remote analyser.
+    """Rows passed to a renderer or model.
 
     `connect` runs once a task and returns the call (a loaded model, an open
     connection); each call gets one Arrow batch. Calls must stand being repeated, as
@@ -112,6 +112,11 @@ def settings(text: Column, schema: str) -> Column:
     return F.coalesce(F.from_json(text, schema), F.from_json(F.lit("{}"), schema))
 
 
+def settings_text(values: Column) -> Column:
+    """A struct of settings as JSON, as it is saved; null fields are left out."""
+    return F.to_json(values)
+
+
 def first_copies(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """A10: the first of equal rows."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("_n = 1").drop("_n")

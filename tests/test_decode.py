@@ -62,6 +62,16 @@ def test_map_components_join_diagonally_and_drop_thin(spark):
     assert [tuple(r) for r in rows] == [(1, 0, 0, 2, 2, 3)]
 
 
+def test_map_components_in_a_hole_go(spark):
+    ring = [(r, c) for r in range(9) for c in range(9) if r in (0, 8) or c in (0, 8)]
+    inner = [(r, c) for r in range(3, 6) for c in range(3, 6)]
+    # a ring that is open at a side encloses nothing; one open at a corner still does, as the way out is diagonal
+    side, corner = [x for x in ring if x != (4, 0)], [x for x in ring if x != (0, 0)]
+    cells = spark.createDataFrame([(m, r, c, 0.9) for m, on in ((1, ring), (2, side), (3, corner)) for r, c in [*on, *inner]], "map_id long, r int, c int, p double")
+    rows = sorted(tuple(r) for r in decode.map_components(cells).collect())
+    assert rows == [(1, 0, 0, 8, 8, 32), (2, 0, 0, 8, 8, 31), (2, 3, 3, 5, 5, 9), (3, 0, 0, 8, 8, 31)]
+
+
 def test_empty_tables(spark):
     none = boxes(spark, [])
     assert decode.nms(none).count() == 0 and decode.iou_pairs(none).count() == 0

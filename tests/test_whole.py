@@ -1,4 +1,4 @@
-"""Queries work on all of their input: each equals its SQL without the cut that the SQL has."""
+"""Queries work on all of their input: each equals its SQL, which has no cut, or a version by hand."""
 
 import duckdb
 import pandas as pd
@@ -35,7 +35,8 @@ def test_joined_text_has_every_line(spark, duck):
 
 @pytest.mark.parametrize("name", ["a10_answered_blocks", "a10_answered_words"])
 def test_answers_have_every_detection(spark, duck, name):
-    whole = ORACLES[name].replace("det_id <= 12 AND ", "")
+    whole = ORACLES[name]
+    assert "det_id <=" not in whole
     rows = QUERIES[name](spark, SF).toPandas()
     assert rows.iloc[:, 1].max() > 12
     assert_equal(rows, duck.execute(whole).df())
@@ -43,7 +44,7 @@ def test_answers_have_every_detection(spark, duck, name):
 
 @pytest.mark.parametrize("name", ["j7_language_profiles", "j7_classified"])
 def test_languages_are_learnt_from_and_told_for_every_document(spark, duck, name):
-    whole = ORACLES[name].replace(" WHERE doc_id % 5 <> 0", "").replace(" WHERE doc_id % 5 = 0", "")
+    whole = ORACLES[name]
     assert "% 5" not in whole
     rows = QUERIES[name](spark, SF).toPandas()
     if name == "j7_classified":
@@ -53,8 +54,8 @@ def test_languages_are_learnt_from_and_told_for_every_document(spark, duck, name
 
 @pytest.mark.parametrize("name", ["c11_map_components", "c14_rect_scores"])
 def test_maps_are_cut_where_fixtures_say(spark, duck, name):
-    whole = ORACLES[name].replace("p >= 0.8", "p >= 0.5")
-    assert_equal(QUERIES[name](spark, SF).toPandas(), duck.execute(whole).df())
+    assert "p >= 0.5" in ORACLES[name]
+    assert_equal(QUERIES[name](spark, SF).toPandas(), duck.execute(ORACLES[name]).df())
 
 
 def test_words_of_every_page_meet_regions(spark, duck):

@@ -20,8 +20,8 @@ from pagelayout.functions.workers import ship
 def prepare(spark: SparkSession) -> None:
     """Make worker functions importable and Arrow batches small.
 
-    Texts can be long, so a batch has at most 500 rows and 16 MB unless the
-    session says less.
+    Texts can be long, so a batch has at most 500 rows and 16 MB. The settings are the
+    session's, as plans read them when they run: they are lowered, never raised.
     """
     ship(spark)
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 500), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
@@ -55,9 +55,16 @@ def released(run: Callable) -> Callable:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one of this process only where none is named."""
+    """The folder all executors share, from spark.checkpoint.dir.
+
+    Where it is unset, a session on this machine alone (master local) gets a
+    temporary folder; on a cluster there is none to choose, and that is an error.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and all executors share (master is {master})")
         where = "file://" + tempfile.mkdtemp(prefix="pagelayout-")
         spark.conf.set("spark.checkpoint.dir", where)
         atexit.register(shutil.rmtree, where[7:], ignore_errors=True)

@@ -195,3 +195,30 @@ def test_shards_equal_brute_force(spark, range_rows):
 
 def test_sharding_an_empty_table(spark):
     assert sharding.shard_by_bytes(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_shards_of_as_many_ranges_as_allowed(spark):
+    rows = [(n * 7919 % 20011, "y" * (n % 23)) for n in range(sharding.MAX_RANGES)]
+    found = sharding.shard_by_bytes(spark.createDataFrame(rows, DOCS), 8, range_rows=1).collect()
+    assert sorted((tuple(r) for r in found), key=str) == brute_shards(rows, 8)
+
+
+def test_ranges_hold_nearly_equal_numbers_of_rows(spark):
+    light = spark.range(40_000).select((F.col("id") % 7).alias("_key"), F.col("id").alias("size"), F.lit(0).alias("text_crc32"))
+    order = light.columns
+    bounds = sharding._bounds(light, order, 40, 40_000)
+    ranges = light.withColumn("r", sharding._range_of(F.struct(*order), bounds)).groupBy("r").count().collect()
+    # a key that many rows share is in several ranges
+    assert 35 <= len(ranges) <= 41 and max(r["count"] for r in ranges) <= 3_000
+
+
+def test_equal_rows_are_laid_out_in_pieces(spark):
+    rows = [(1, "a")] * 3_000 + [(n, "b" * (n % 5)) for n in range(500)] + [(None, None)] * 700
+    found = sharding.shard_by_bytes(spark.createDataFrame(rows, DOCS), 8, range_rows=100, copies=64).collect()
+    assert sorted((tuple(r) for r in found), key=str) == brute_shards(rows, 8)
+
+
+def test_sharding_ignores_other_columns(spark):
+    rows = [(n, "t" * n) for n in range(20)]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({"size": F.lit("x"), "_range": F.lit(1), "shard": F.lit(None).cast("int"), "_KEY": F.lit(2)})
+    assert sorted((tuple(r) for r in sharding.shard_by_bytes(docs).collect()), key=str) == brute_shards(rows, 8)

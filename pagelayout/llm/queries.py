@@ -86,14 +86,17 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_quality_rules, op3_byte_bpe, op4_url_filter, op5_decontamination, op6_quality_classifier, op7_toxicity, op8_language_id, op9_secret_scans, op10_sharding)}
 
 
-def _sql(text: str) -> str:
-    """A pattern or string as a SQL literal."""
-    return "'" + text.replace("'", "''") + "'"
+#: The contract's base patterns, written for DuckDB: kind, pattern, group whose length counts, characters at least.
+_SECRETS = (
+    ("assign", """([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    ("access", "AKIA[A-Z0-9]+", 0, 18),
+    ("hex", "[0-9a-f]+", 0, 16),
+)
 
 
 def _secrets_oracle() -> str:
     kinds = " UNION ALL ".join(
-        f"SELECT doc_id, {_sql(r.kind)} AS kind, {n} AS kind_order, {r.least} AS least, regexp_extract_all(body, {_sql(r.pattern)}, 0) AS m, regexp_extract_all(body, {_sql(r.pattern)}, {r.group}) AS g, string_split_regex(body, {_sql(r.pattern)}) AS gaps FROM d" for n, r in enumerate(secrets.RULES)
+        f"SELECT doc_id, '{kind}' AS kind, {n} AS kind_order, {least} AS least, regexp_extract_all(body, '{pattern}', 0) AS m, regexp_extract_all(body, '{pattern}', {group}) AS g, string_split_regex(body, '{pattern}') AS gaps FROM d" for n, (kind, pattern, group, least) in enumerate(_SECRETS)
     )
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),

@@ -10,6 +10,7 @@ weights haven't seen.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +31,8 @@ ORDERS = (1, 2, 3)
 #: Learning documents per language in the sample that weights are fitted on, and in all.
 SAMPLE_PER_LANGUAGE = 400
 SAMPLE_TOTAL = 20_000
+#: Languages at most: the learner holds BUCKETS numbers of 8 bytes twice for each. More of them are an error.
+MOST_LANGUAGES = 200
 #: Characters handled at once in a long text.
 CHUNK_CHARS = 1 << 19
 #: Of the learners: rate, its offset, L1 and L2 strengths, passes.
@@ -55,15 +58,24 @@ def _folding() -> np.ndarray:
     return _fold[0]
 
 
+def _folded(text: str) -> Iterator[np.ndarray]:
+    """The text's letters, lower-cased, with single spaces for whatever is between, before and after: a portion at a time."""
+    space, last = np.array([32], dtype=np.uint64), 0
+    for a in range(0, max(1, len(text)), CHUNK_CHARS):
+        code = _folding()[np.frombuffer(text[a : a + CHUNK_CHARS].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].astype(np.uint64)
+        code = np.concatenate([[] if a else space, code, space if a + CHUNK_CHARS >= len(text) else []]).astype(np.uint64)
+        code = code[(code != 32) | (np.concatenate([[last], code[:-1]]) != 32)]
+        if len(code):
+            last = int(code[-1])
+            yield code
+
+
 def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, counts) of the text's n-grams."""
-    total = None
-    for a in range(0, max(len(text), 1), CHUNK_CHARS):
-        # a chunk starts two characters early for the n-grams across its edge; those wholly in the overlap count twice
-        part = text[max(0, a - 2) : a + CHUNK_CHARS]
-        code = _folding()[np.frombuffer(part.encode("utf-32-le", "replace"), dtype=np.uint32)]
-        code = np.concatenate([[32], code, [32]]).astype(np.uint64)
-        code = code[np.concatenate([[True], (code[1:] != 32) | (code[:-1] != 32)])]
+    """(buckets, counts) of the text's n-grams. Long texts are read in portions; the codes before an edge go along, so each n-gram counts once."""
+    total = np.zeros(BUCKETS, dtype=np.int64)
+    before = np.zeros(0, dtype=np.uint64)
+    for fresh in _folded(text):
+        code = np.concatenate([before, fresh])
         found = []
         g = np.zeros(len(code), dtype=np.uint64)
         for n in range(1, max(ORDERS) + 1):
@@ -72,9 +84,11 @@ def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
                 break
             g = g[:size] * np.uint64(0x9E3779B97F4A7C15) + (code[n - 1 :] + np.uint64(n << 24))
             if n in ORDERS:
-                found.append(((g ^ (g >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64))
-        count = np.bincount(np.concatenate(found), minlength=BUCKETS)
-        total = count if total is None else total + count
+                # what ends within `before` was counted with it
+                own = g[max(0, len(before) - n + 1) :]
+                found.append(((own ^ (own >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64))
+        total += np.bincount(np.concatenate(found), minlength=BUCKETS)
+        before = code[-(max(ORDERS) - 1) :]
     at = np.flatnonzero(total)
     return at, total[at]
 
@@ -83,16 +97,24 @@ def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     languages: list[str]
     idf: np.ndarray
+    place: np.ndarray  # bucket -> its row of weights; the last row is zeros, for all the others
     weights: np.ndarray
     bias: np.ndarray
-    temperature: float
+    temperature: float = 1.0
+
+    @staticmethod
+    def sparse(languages: list[str], idf: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> Model:
+        used = np.flatnonzero(weights.any(axis=1))
+        place = np.full(len(weights), len(used), dtype=np.int32)
+        place[used] = np.arange(len(used))
+        return Model(languages, idf, place, np.concatenate([weights[used], np.zeros((1, weights.shape[1]))]), bias)
 
     def vector(self, at: np.ndarray, count: np.ndarray) -> np.ndarray:
         v = (1 + np.log(count)) * self.idf[at]
         return v / max(float(np.sqrt(v @ v)), 1e-12)
 
     def logits(self, at: np.ndarray, count: np.ndarray) -> np.ndarray:
-        return self.vector(at, count) @ self.weights[at] + self.bias
+        return self.vector(at, count) @ self.weights[self.place[at]] + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.languages or not _LETTER.search(text):
@@ -184,39 +206,47 @@ def _sample(learn: DataFrame, key: str, text: str, lang: str, share: Column) ->
     return [(r.lang, np.frombuffer(r.at, np.uint16).astype(np.int64), np.frombuffer(r["count"], np.uint32)) for r in rows]
 
 
-def train(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE, most: int = SAMPLE_TOTAL) -> Model:
+def train(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE, most: int = SAMPLE_TOTAL, most_languages: int = MOST_LANGUAGES) -> Model:
     """Fit on the rows where `learn` holds and text and lang are given.
 
     Rows without a letter teach nothing. Weights and temperature come from about
     `per_language` documents of each language (about `most` in all), chosen by a
     hash of the key; document frequencies from all. No rows: a model that says `und`.
+    More than `most_languages` languages are an error, none is left out. Repeated rows
+    count as often as they come.
     """
     prepare(docs.sparkSession)
     rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    sizes = {r[0]: r[1] for r in rows.groupBy(F.col(lang).cast("string")).agg(F.count("*")).collect()}
+    sizes = {r[0]: r[1] for r in rows.groupBy(F.col(lang).cast("string")).agg(F.count("*")).limit(most_languages + 1).collect()}
+    if len(sizes) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
     if not sizes:
-        return Model([], np.zeros(BUCKETS), np.zeros((BUCKETS, 0)), np.zeros(0), 1.0)
+        return Model.sparse([], np.zeros(BUCKETS), np.zeros((BUCKETS, 0)), np.zeros(0))
     languages = sorted(sizes)
     each = min(per_language, max(1, most // len(languages)))
     few = F.create_map(*[x for c in languages for x in (F.lit(c), F.lit(min(1.0, each / sizes[c])))])
     n, df = _frequencies(rows, text)
     idf = np.log((1 + n) / (1 + df)) + 1
     sample = _sample(rows, key, text, lang, few[F.col(lang).cast("string")])
-    model = Model(languages, idf, np.zeros((BUCKETS, len(languages))), np.zeros(len(languages)), 1.0)
+    model = Model.sparse(languages, idf, np.zeros((BUCKETS, 0)), np.zeros(0))
     number = {c: i for i, c in enumerate(languages)}
-    vectors = [(number[c], at, model.vector(at, count)) for c, at, count in sample]
-    later = vectors[4::5]
-    model.weights, model.bias = fit_weights([x for i, x in enumerate(vectors) if i % 5 != 4], len(languages))
+    rows_ = [(number[c], at, count) for c, at, count in sample]
+    later = rows_[4::5]
+    weights, bias = fit_weights([(c, at, model.vector(at, count)) for i, (c, at, count) in enumerate(rows_) if i % 5 != 4], len(languages))
+    model = Model.sparse(languages, idf, weights, bias)
     if later:
-        model.temperature = fit_temperature(np.array([v @ model.weights[at] + model.bias for _, at, v in later]), np.array([c for c, _, _ in later]))
+        model.temperature = fit_temperature(np.array([model.logits(at, count) for _, at, count in later]), np.array([c for c, _, _ in later]))
     return model
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", name: str = "language") -> DataFrame:
     """`docs` with a struct `name`: lang and score (its calibrated probability).
 
-    A null or empty text, or one without a letter, is `und` with score 0. Long
-    texts are read whole, in chunks of `CHUNK_CHARS`.
+    A null or empty text, or one without a letter, is `und` with score 0. Languages
+    that score alike go by name. Long texts are read whole, in portions of
+    `CHUNK_CHARS`, with the same result. Rows are judged one by one: repeated ones
+    alike, and an empty table gives no rows; columns of `docs` stay and `name` gives
+    way to one of the same name.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

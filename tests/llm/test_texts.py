@@ -26,33 +26,44 @@ def brute_rules(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
     lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
     g = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
-    again = {i + j for i in range(len(g)) if g.count(g[i]) > 1 for j in range(3)}
+    times = {x: g.count(x) for x in set(g)} if len(g) < 2000 else __import__("collections").Counter(g)
+    again = {i + j for i in range(len(g)) if times[g[i]] > 1 for j in range(3)}
     failed = len(w) < 50 or 100 * len(again) > 50 * len(w)
     raw = text.encode()
     packer = zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False)
-    kept = not failed
-    if raw:
-        low, high = quality_rules.band(len(raw), quality_rules.TEXT_BANDS)
-        kept &= low <= len(raw) / len(packer.compress(raw)) <= high
-    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(again), failed, kept
+
+    def fits(part, bands):
+        own = [b for b in bands if b[0] <= len(part)]
+        return not own or own[-1][1] <= len(part) / len(packer.compress(part)) <= own[-1][2]
+
+    chunks = [raw[a : a + 4096] for a in range(0, len(raw), 4096)]
+    outside = sum(len(c) for c in chunks if not fits(c, quality_rules.CHUNK_BANDS))
+    kept = not failed and fits(raw, quality_rules.TEXT_BANDS) and 4 * outside <= len(raw)
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(again), failed, kept, len(chunks)
 
 
 def test_rules_equal_brute_force(spark):
     rng = random.Random(2)
-    texts = [None, "", " \n\n ", "a\na\n b\na\n\n\n", "#*$ ü é|", "x y z " * 40, "ab\x00cd " * 3]
-    for _ in range(40):
-        texts.append("".join(rng.choice(["word ", "zwei ", "Lied\n", "tres, ", "q%", " ", "long er\n", f"n{rng.randrange(400)} "]) for _ in range(rng.randrange(1, 300))))
+    texts = [None, "", " \n\n ", "a\na\n b\na\n\n\n", "#*$ ü é|", "x y z " * 40, "ab\x00cd " * 3, "a\nb " * 3]
+    prose = lambda n: "".join(rng.choice(["word ", "zwei ", "Lied\n", "tres, ", "q%", " ", "long er\n", f"n{rng.randrange(400)} "]) for _ in range(n))
+    noise = lambda n: "".join(chr(rng.randrange(33, 127)) + " " * (i % 9 == 8) for i in range(n))
+    texts += [prose(rng.randrange(1, 300)) for _ in range(40)]
     texts.append(" ".join(hashlib.sha512(str(i).encode()).hexdigest() for i in range(60)))
-    rows = list(enumerate(texts))
+    # over one chunk: clean, with a noisy or repetitive chunk or last piece, and a very long one
+    texts += [prose(3000), prose(1500) + noise(2000), prose(9000) + noise(1400), noise(4000) + prose(900), prose(1500) + "-" * 4100, prose(1200) + "-" * 200, prose(60) + noise(100), prose(400_000)]
+    rows = [*enumerate(texts), (3, texts[3])]
     df = quality_rules.quality_rules(spark.createDataFrame(rows, DOCS).withColumn("kept", F.lit(0)), name="kept")
-    assert df.columns[-1] == "kept_"
+    assert df.columns[-1] == "kept_" and df.count() == len(rows)
     found = {r.doc_id: r["kept_"] for r in df.collect()}
-    for i, text in rows:
+    for i, text in enumerate(texts):
         r = found[i]
-        want = brute_rules(text)
-        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == want[:6]
-        if len((text or "").encode()) <= quality_rules.CHUNK_BYTES:
-            assert r.kept == want[6]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept, r.n_chunks) == brute_rules(text), i
+    long = [found[i] for i, t in enumerate(texts) if t and len(t.encode()) > 4096]
+    assert {r.kept for r in long if not r.base_failed} == {True, False}
+
+
+def test_rules_of_an_empty_table(spark):
+    assert quality_rules.quality_rules(spark.createDataFrame([], DOCS)).collect() == []
 
 
 def test_repetition_and_noise_are_rejected():
@@ -64,6 +75,11 @@ def test_repetition_and_noise_are_rejected():
     assert not quality_rules.compression(bytes(rng.integers(33, 255, 20000, dtype=np.uint8)), packer)[-1]
     # half noise: the whole ratio passes, the chunks don't
     assert not quality_rules.compression(prose + bytes(rng.integers(0, 255, 9000, dtype=np.uint8)), packer)[-1]
+    # short texts have limits of their own
+    for n in (130, 300, 700, 1500, 3000):
+        assert quality_rules.compression(prose[:n], packer)[-1], n
+        assert not quality_rules.compression(b"ab" * (n // 2), packer)[-1], n
+        assert not quality_rules.compression(bytes(rng.integers(0, 255, n, dtype=np.uint8)), packer)[-1], n
 
 
 # tokens
@@ -212,13 +228,60 @@ def test_language_odd_texts(spark):
     assert {r["language_"].lang for r in language_id.identify(df, nothing).collect()} == {"und"}
 
 
-def test_gram_counts_in_chunks(monkeypatch):
-    # chunks share the two characters before an edge; counts of what lies wholly there rise, no bucket is missed
-    text = "Über allen Gipfeln ist Ruh, in allen Wipfeln spürest du" * 20
-    whole = language_id.gram_counts(text)[0]
-    monkeypatch.setattr(language_id, "CHUNK_CHARS", 100)
-    assert set(whole) <= set(language_id.gram_counts(text)[0])
-    assert len(language_id.gram_counts("")[0]) and len(language_id.gram_counts("\U0001f600")[0])
+def brute_grams(text):
+    """Counts of all 1- to 3-grams, by bucket; hashed by the module's own rule from code points alone."""
+    code = [32]
+    for c in text:
+        low = c.lower()
+        x = (ord(low) if len(low) == 1 else ord(c)) if c.isalpha() else 32
+        if x != 32 or code[-1] != 32:
+            code.append(x)
+    if code[-1] != 32:
+        code.append(32)
+    counts, full = {}, (1 << 64) - 1
+    for n in (1, 2, 3):
+        for i in range(len(code) - n + 1):
+            g = 0
+            for j in range(n):
+                g = (g * 0x9E3779B97F4A7C15 + code[i + j] + ((j + 1) << 24)) & full
+            at = ((g ^ (g >> 29)) * 0xBF58476D1CE4E5B9 & full) >> (64 - language_id.BUCKET_BITS)
+            counts[at] = counts.get(at, 0) + 1
+    return counts
+
+
+@pytest.mark.parametrize("portion", [1, 2, 3, 7, 100, 1 << 19])
+def test_each_gram_counts_once_whatever_the_portion(monkeypatch, portion):
+    monkeypatch.setattr(language_id, "CHUNK_CHARS", portion)
+    for text in ("", " ", "a", "\U0001f600", "1 2", "Über allen  Gipfeln ist Ruh, 3 in allen Wipfeln spürest du" * 4, "İstanbul ß\n\n", "x" * 50):
+        at, count = language_id.gram_counts(text)
+        assert dict(zip(at.tolist(), count.tolist(), strict=True)) == brute_grams(text)
+
+
+def test_long_texts_score_as_in_one_portion(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate([("der die das und", "de"), ("the of and this", "en")] * 10)], "doc_id long, text string, lang string")
+    model = language_id.train(docs, F.lit(True))
+    text = "the cat und der Hund " * 3000
+    one = model.predict(text)
+    monkeypatch.setattr(language_id, "CHUNK_CHARS", 997)
+    assert model.predict(text) == one
+
+
+def test_language_ties_and_limits(spark):
+    kind = "doc_id long, text string, lang string"
+    same = spark.createDataFrame([(i, "one and the same", lang) for i, lang in enumerate(["b", "a"] * 10)], kind)
+    model = language_id.Model.sparse(["a", "b"], np.ones(language_id.BUCKETS), np.zeros((language_id.BUCKETS, 2)), np.zeros(2))
+    assert [r.language for r in language_id.identify(same.limit(1), model).collect()] == [("a", 0.5)]
+    assert language_id.identify(spark.createDataFrame([], kind), model).collect() == []
+    with pytest.raises(ValueError, match="more than 1 languages"):
+        language_id.train(same, F.lit(True), most_languages=1)
+
+
+def test_sparse_weights_are_the_weights():
+    rng = np.random.default_rng(0)
+    full = rng.normal(0, 1, (language_id.BUCKETS, 3)) * (rng.random((language_id.BUCKETS, 1)) < 0.01)
+    model = language_id.Model.sparse(["a", "b", "c"], np.ones(language_id.BUCKETS), full, np.zeros(3))
+    at, count = language_id.gram_counts("some text or other " * 5)
+    assert len(model.weights) < 1000 and np.allclose(model.logits(at, count), model.vector(at, count) @ full[at])
 
 
 def test_temperature_fits():

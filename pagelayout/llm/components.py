@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lookup import lookup
 from .store import Scratch
 
 #: A round at least halves the longest chains; this many would serve any table.
@@ -20,19 +21,20 @@ def connected_components(links: DataFrame, scratch: Scratch, name: str) -> DataF
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     state, before = scratch.save(edges, f"{name}-0"), None
+    total = state.count()
     for r in range(1, MAX_ROUNDS + 1):
         # large star: all greater neighbours go to the least of the neighbours and the node itself
         both = state.select("u", "v").union(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("degree"))
+        large = lookup(both.where("v > u"), least, "u", "degree", F.col("v"), 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: the lesser neighbours, and the node, go to the least of them
-        low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), "m")
-        small = large.join(low, F.col("u") == F.col("x")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        state = scratch.save(small.union(low.select(F.col("x").alias("u"), F.col("m").alias("v"))).distinct(), f"{name}-{r}")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+        small = lookup(large, low, "u", "degree", F.col("v"), 2 * total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        state = scratch.save(small.union(low.select("u", F.col("m").alias("v"))).distinct(), f"{name}-{r}")
         scratch.drop(f"{name}-{r - 1}")
         now = state.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("s")).first()
         if before == now:
             break
-        before = now
+        before, total = now, now.n
     roots = state.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())

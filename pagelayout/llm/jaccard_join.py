@@ -12,15 +12,18 @@ together are not looked for again:
 1. sets are reduced to one per distinct set;
 2. token frequencies, over all documents, give the rare-first order;
 3. prefix tokens that nobody else has drop out; what is left is small;
-4. rare tokens (of a few sets) give pairs, kept if they share enough tokens;
-5. frequent tokens give stars: in each posting, everyone is compared with one
+4. tokens in the prefixes of a few sets give pairs, kept if they share enough tokens;
+5. tokens of more sets give stars: in each posting, everyone is compared with one
    central set, and the links found merge sets into partial components;
 6. whatever still shares a frequent prefix token across partial components is
    compared in full, a set against all members of the other one, in blocks.
 
-Two linked sets that share a rare prefix token are compared in step 4. Two that
-share frequent ones alone end in one partial component or meet in step 6. So no
+Two linked sets that share a token of few sets are compared in step 4. Two that
+share tokens of many alone end in one partial component or meet in step 6. So no
 link between components is lost, and no long posting is paired with itself.
+
+How many rows a token, a hub or a component has is known before it is joined: what
+has many is sent, or cut into cells of bounded size, and never meets in one task.
 """
 
 from __future__ import annotations
@@ -34,15 +37,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .lookup import lookup
 from .store import Scratch, prepare, release_memory, released
 from .textops import SPACE_WORDS, grams, mix, texts_words
 
 SHINGLE_WORDS = 5
 #: Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: A token of as many documents counts as frequent; frequent ones come last, by frequency.
+#: A token of as many documents counts as frequent and comes last, by frequency; prefixes of as many sets aren't paired.
 FREQUENT = 8
-#: Frequent tokens kept at most (12 bytes each, sent to executors): beyond it the mark above rises.
+#: Frequent tokens that the order knows at most (16 bytes each, sent to executors): the most frequent ones.
+#: More of them are ordered by hash alone, which is as global; how their sets are compared doesn't depend on it.
 MAX_FREQUENT = 1_000_000
 #: Tokens that one counting task takes in, and that a map task holds before it passes them on.
 COUNT_TOKENS = 1_000_000
@@ -52,6 +57,9 @@ STAR_ROUNDS = 3
 #: Components that crowd a token, and tokens of a set that are listed to tell where two sets meet first.
 CROWD = 32
 MOST_LISTED = 256
+#: Sets, or components, of a crowded token that meet in one cell of its grid; blocks of a hub that meet likewise.
+CELL = 512
+CELL_BLOCKS = 16
 #: Bits of the filter over the sets that have candidates: at most 4 MB, sent to executors.
 MAX_FILTER_BITS = 1 << 25
 
@@ -184,8 +192,9 @@ def _entries(docs: DataFrame, k: int, percent: int, orders, n_tokens: int, scrat
     """(token, sid, n, frequent): prefix tokens in the first order that two sets or more have.
 
     Rows travel packed, cut by the token's leading bits as for counting, and each cut
-    keeps the tokens of several sets. A frequent token is taken as shared; its rows
-    are cut by the set instead, so that no task gathers them.
+    keeps the tokens of several sets; those of FREQUENT sets or more are marked. A
+    token that the order knows as frequent is taken as shared by many; its rows are
+    cut by the set instead, so that no task gathers them.
     """
     bits = max(6, int(np.ceil(np.log2(max(1, n_tokens * (100 - percent) / 100 / COUNT_TOKENS)))))
     shift = np.uint64(64 - bits - 32)
@@ -241,9 +250,9 @@ def _entries(docs: DataFrame, k: int, percent: int, orders, n_tokens: int, scrat
             t, s, m = t[order], s[order], m[order]
             fresh = np.concatenate([[True], (t[1:] != t[:-1]) | (s[1:] != s[:-1])])[: len(t)]
             t, s, m = t[fresh], s[fresh], m[fresh]
-            same = np.concatenate([[False], t[1:] == t[:-1], [False]])
-            kept = np.ones(len(t), dtype=bool) if frequent else (same[1:] | same[:-1])[: len(t)]
-            out.append((t[kept], s[kept], m[kept], np.full(int(kept.sum()), frequent)))
+            _, at, size = np.unique(t, return_inverse=True, return_counts=True)
+            kept = np.ones(len(t), dtype=bool) if frequent else size[at] > 1
+            out.append((t[kept], s[kept], m[kept], np.ones(int(kept.sum()), dtype=bool) if frequent else size[at][kept] >= FREQUENT))
         token, sid, n, flag = (np.concatenate(x) for x in zip(*out, strict=True))
         return pa.table({"token": pa.array(token.view(np.int64)), "sid": pa.array(sid), "n": pa.array(n.astype(np.int32)), "frequent": pa.array(flag)})
 
@@ -328,13 +337,23 @@ def compare(members: list[dict], spokes: list[dict], percent: int) -> tuple[list
     return out
 
 
-def _links(members: DataFrame, spokes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links between members and spokes (hub, sid, n) of the same hub, compared block by block."""
+def _links(members: DataFrame, spokes: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(a, b): links between members and spokes (hub, sid, n) of the same hub, compared block by block.
 
-    def blocked(df: DataFrame, name: str) -> DataFrame:
-        parts = df.groupBy("hub").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("parts"))
-        placed = df.join(parts, "hub").select("hub", "sid", F.pmod(F.xxhash64("sid"), F.col("parts")).alias("block")).join(sets, "sid")
-        return placed.groupBy("hub", "block").agg(F.collect_list(F.struct("sid", "tokens", "second", "third")).alias(name)).select("hub", name)
+    Each side is cut into blocks of BLOCK_TOKENS tokens; CELL_BLOCKS blocks of one
+    side meet as many of the other in a cell, and cells are spread over tasks.
+    """
+    every = members.select("hub", F.col("n").alias("m_n"), F.lit(0).alias("s_n")).unionByName(spokes.select("hub", F.lit(0).alias("m_n"), F.col("n").alias("s_n")))
+    parts = lambda c: F.greatest(F.lit(1), F.ceil(F.sum(c) / BLOCK_TOKENS)).cast("int")
+    hubs = scratch.save(every.groupBy("hub").agg(parts("m_n").alias("members"), parts("s_n").alias("spokes"), F.count("*").alias("rows")), "hubs")
+    total = hubs.agg(F.sum("rows")).first()[0] or 0
+
+    def blocked(df: DataFrame, name: str, other: str) -> DataFrame:
+        own = lookup(df, hubs, "hub", "rows", F.col("sid"), total).withColumn("block", F.pmod(F.xxhash64("sid"), F.col(name)).cast("int"))
+        own = own.select("hub", "sid", "block", F.ceil(F.col(other) / CELL_BLOCKS).cast("int").alias("cells")).join(sets, "sid")
+        lists = own.groupBy("hub", "block", "cells").agg(F.collect_list(F.struct("sid", "tokens", "second", "third")).alias("sets"))
+        cell = F.floor(F.col("block") / CELL_BLOCKS).cast("int")
+        return lists.select("hub", cell.alias(f"{name}_cell"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias(f"{other}_cell"), F.col("sets").alias(name))
 
     def run(batches):
         for batch in batches:
@@ -345,7 +364,7 @@ def _links(members: DataFrame, spokes: DataFrame, sets: DataFrame, percent: int)
                 found[1].extend(b)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
 
-    both = blocked(members, "members").join(blocked(spokes, "spokes"), "hub").select("members", "spokes")
+    both = blocked(members, "members", "spokes").join(blocked(spokes, "spokes", "members"), ["hub", "members_cell", "spokes_cell"]).select("members", "spokes")
     return both.mapInArrow(released(run), "a long, b long")
 
 
@@ -365,10 +384,10 @@ def _least_shared(n: str, m: str, percent: int) -> Column:
 
 
 def _rare_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """(hub, hub_n, sid, n): pairs that share rare prefix tokens, and enough of them.
+    """(hub, hub_n, sid, n): pairs that share prefix tokens of few sets, and enough of them.
 
-    A rare token has fewer than FREQUENT sets, so its pairs are few. Frequent tokens
-    are not paired here: as many as the two could share are taken for granted.
+    Such a token is in fewer than FREQUENT prefixes, so its pairs are few. Others are
+    not paired here: as many as the two could share are taken for granted.
     """
     rare = entries.where("NOT frequent").select("token", "sid", "n")
     often = entries.where("frequent").groupBy(F.col("sid").alias("x")).agg(F.count("*").alias("f"))
@@ -380,29 +399,52 @@ def _rare_pairs(entries: DataFrame, percent: int) -> DataFrame:
     return pairs.where(bound >= _least_shared("n", "hub_n", percent)).select("hub", "hub_n", "sid", "n")
 
 
-def _cross(rows: DataFrame, sides: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def _cross(rows: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(hub, sid, n, least, most, c): sets that share tokens with a component that isn't theirs, and how many.
 
-    The larger component is the hub, so two components meet once. A token of few
-    components simply joins. One of many would repeat the same pairs token after
-    token, so there two single sets meet at the first such token that they share.
+    `rows` are (token, sid, n, comp, size). The larger component is the hub, so two
+    components meet once. A token of few components sends them all to its sets. One
+    of many would repeat the same pairs token after token, so there two single sets
+    meet at the first such token that they share; and sets meet components in cells of
+    a grid over the token, by size, as sets link only within a factor of their sizes.
     """
     larger = F.struct("hub_size", "hub") > F.struct(F.col("size").alias("hub_size"), F.col("comp").alias("hub"))
     fits = larger & _fits("n", "least", "most", percent)
-    sides = scratch.save(sides, "sides")
-    crowded = scratch.save(sides.groupBy("token").agg(F.count("*").alias("comps")).where(F.col("comps") >= CROWD).select("token"), "crowded")
-    found = rows.join(crowded, "token", "left_anti").join(sides, "token").where(fits).withColumn("c", F.lit(1))
+    sides = rows.groupBy("token", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.first("size").alias("hub_size"), F.count("*").alias("own"))
+    sides = scratch.save(sides.withColumnRenamed("comp", "hub"), "sides")
+    tokens = scratch.save(sides.groupBy("token").agg(F.sum("own").alias("rows"), F.count("*").alias("comps")), "tokens")
+    sums = tokens.agg(F.sum("rows").alias("rows"), F.sum("comps").alias("comps"), F.max("comps").alias("most")).first()
+    # fewer than CROWD components of a token, as a list
+    few = sides.join(tokens.where(F.col("comps") < CROWD).select("token", "rows"), "token")
+    few = few.groupBy("token").agg(F.first("rows").alias("rows"), F.collect_list(F.struct("hub", "hub_size", "least", "most")).alias("hubs"))
     cols = ["hub", "sid", "n", "least", "most", "c"]
-    if not crowded.isEmpty():
-        dense = scratch.save(rows.join(crowded, "token"), "crowds")
-        own = dense.groupBy("sid").agg(F.collect_list("token").alias("own")).where(F.size("own") <= MOST_LISTED)
-        dense = dense.join(own, "sid", "left")
-        ones = dense.where("size = 1").select("token", F.col("comp").alias("hub"), F.col("own").alias("hub_own"))
-        hubs = sides.join(crowded, "token", "left_semi").join(ones, ["token", "hub"], "left")
+    found = lookup(rows, scratch.save(few, "few"), "token", "rows", F.col("sid"), sums.rows or 0).select("sid", "n", "comp", "size", F.inline("hubs"))
+    found = found.where(fits).withColumn("c", F.lit(1)).select(*cols)
+    if (sums.most or 0) >= CROWD:
+        crowded = tokens.where(F.col("comps") >= CROWD)
+        cells = lambda c: F.ceil(F.col(c) / CELL).cast("int")
+        grid = crowded.select("token", cells("rows").alias("row_cells"), cells("comps").alias("hub_cells"), "rows", "comps")
+        dense = scratch.save(lookup(rows, grid.drop("comps"), "token", "rows", F.col("sid"), sums.rows), "crowds")
+        own = dense.groupBy("sid").agg(F.sort_array(F.collect_list("token")).alias("own")).where(F.size("own") <= MOST_LISTED)
+        own = scratch.save(own, "listed")
+        size = dense.select("sid", "size").distinct()
+        ones = own.join(size.where("size = 1"), "sid").select(F.col("sid").alias("one"), F.col("own").alias("hub_own"))
+        hubs = lookup(sides, grid.drop("rows"), "token", "comps", F.col("hub"), sums.comps)
+        # a component of one set goes by that set
+        hubs = hubs.join(ones, (F.col("hub") == F.col("one")) & (F.col("hub_size") == 1), "left")
+        log = np.log(100 / percent)
+        band = lambda n, by: F.floor(F.log(F.col(n).cast("double")) / log + by).cast("int")
+        spread = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        cell = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+        left = dense.join(own, "sid", "left").withColumns({"band": band("n", 0), "row_cell": cell("sid", "row_cells")}).withColumn("hub_cell", spread("hub_cells"))
+        right = hubs.withColumn("hub_cell", cell("hub", "hub_cells")).withColumn("row_cell", spread("row_cells"))
+        right = right.withColumn("band", F.explode(F.sequence(band("least", -1 - 1e-9), band("most", 1 + 1e-9))))
+        on = ["token", "band", "row_cell", "hub_cell"]
         both = F.array_intersect("own", "hub_own")
         listed = F.col("own").isNotNull() & F.col("hub_own").isNotNull()
-        meets = dense.join(hubs, "token").where(fits & (~listed | (F.col("token") == F.array_min(both))))
-        found = found.select(*cols).unionByName(meets.withColumn("c", F.when(listed, F.size(both)).otherwise(1)).select(*cols))
+        meets = left.select(*on, "sid", "n", "comp", "size", "own").join(right.select(*on, "hub", "hub_size", "least", "most", "hub_own"), on)
+        meets = meets.where(fits & (~listed | (F.col("token") == F.array_min(both))))
+        found = found.unionByName(meets.withColumn("c", F.when(listed, F.size(both)).otherwise(1)).select(*cols))
     return found.groupBy("hub", "sid").agg(F.first("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"), F.sum("c").alias("c"))
 
 
@@ -423,10 +465,12 @@ def _join(docs: DataFrame, k: int, percent: int, n_tokens: int, scratch: Scratch
     sets = _live_sets(docs, live, k, percent, orders, scratch)
     links, roots = None, None
 
+    n_often, n_dense = often.count(), dense.count()
+
     def compared(spokes: DataFrame, hubs: DataFrame, name: str) -> bool:
         """Add the links found to `links`, and the components they make to `roots`."""
         nonlocal links, roots
-        new = scratch.save(_links(hubs, spokes, sets, percent), f"links-{name}")
+        new = scratch.save(_links(hubs, spokes, sets, percent, scratch), f"links-{name}")
         if new.isEmpty():
             return False
         links = new if links is None else links.union(new)
@@ -441,38 +485,44 @@ def _join(docs: DataFrame, k: int, percent: int, n_tokens: int, scratch: Scratch
         of = dense if roots is None else dense.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left")
         return of.select("sid", "n", "shared", (F.col("sid") if roots is None else F.coalesce("root", "sid")).alias("comp"))
 
-    def placed() -> DataFrame:
-        """Entries with their partial component and its size, of tokens that several components have."""
-        of = members().drop("n")
-        sizes = of.groupBy("comp").agg(F.count("*").alias("size"))
-        rows = often.join(of.join(sizes, "comp"), "sid")
-        split = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-        return rows.join(split, "token")
+    def placed(name: str) -> DataFrame:
+        """Entries (token, sid, n) with their set's partial component, its size, and `shared`."""
+        of = scratch.save(members().drop("n"), f"of-{name}")
+        sizes = of.groupBy("comp").agg(F.count("*").alias("size"), F.count("*").alias("rows"))
+        rows = often.join(lookup(of, sizes, "comp", "rows", F.col("sid"), n_dense), "sid")
+        return scratch.save(rows.select("token", "sid", "n", "shared", "comp", "size"), f"placed-{name}")
+
+    def split(rows: DataFrame, name: str, *more: Column) -> DataFrame:
+        """(token, rows, ...) of the tokens that several components have."""
+        ends = F.struct(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        of = rows.groupBy("token").agg(ends.alias("e"), F.count("*").alias("rows"), *more).where("e.lo <> e.hi").drop("e")
+        return scratch.save(of, f"split-{name}")
 
     compared(rare.select("hub", "sid", "n"), own_hubs(rare), "rare")
     for r in range(STAR_ROUNDS):
         # first the set that shares most, likely the one the others derive from; then members of the largest component
         rank = F.struct("shared", "sid") if r == 0 else F.struct("size", F.xxhash64(F.lit(r), "sid"), "sid")
-        rows = scratch.save(placed(), f"placed-{r}")
-        centres = rows.groupBy("token").agg(F.max(F.struct(rank.alias("rank"), "sid", "comp", "n")).alias("c")).select("token", F.col("c.sid").alias("hub"), F.col("c.comp").alias("hub_comp"), F.col("c.n").alias("hub_n"))
-        pairs = rows.join(centres, "token").where((F.col("comp") != F.col("hub_comp")) & _fits("n", "hub_n", "hub_n", percent))
+        rows = placed(str(r))
+        centres = split(rows, str(r), F.max(F.struct(rank.alias("rank"), "sid", "comp", "n")).alias("c"))
+        centres = centres.select("token", "rows", F.col("c.sid").alias("hub"), F.col("c.comp").alias("hub_comp"), F.col("c.n").alias("hub_n"))
+        pairs = lookup(rows, centres, "token", "rows", F.col("sid"), n_often).where((F.col("comp") != F.col("hub_comp")) & _fits("n", "hub_n", "hub_n", percent))
         pairs = pairs.groupBy("hub", "sid").agg(F.first("hub_n").alias("hub_n"), F.first("n").alias("n"), F.count("*").alias("c")).where(F.col("c") >= _least_shared("n", "hub_n", percent))
         spokes = scratch.save(pairs.select("hub", "hub_n", "sid", "n"), f"spokes-{r}")
         some = compared(spokes.select("hub", "sid", "n"), own_hubs(spokes), f"star-{r}")
-        scratch.drop(f"placed-{r}", f"spokes-{r}")
+        scratch.drop(f"placed-{r}", f"of-{r}", f"split-{r}", f"spokes-{r}")
         if not some:
             break
 
-    rows = scratch.save(placed(), "placed")
-    sides = rows.groupBy("token", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.first("size").alias("hub_size")).withColumnRenamed("comp", "hub")
-    cross = _cross(rows, sides, percent, scratch)
+    rows = placed("all")
+    rows = scratch.save(lookup(rows, split(rows, "all"), "token", "rows", F.col("sid"), n_often), "open")
+    cross = _cross(rows, percent, scratch)
     # the bound is least for the sizes farthest from n, none beyond what can link; rounding may take one more off between
     lo, hi = F.greatest("least", F.expr(f"({percent} * n + 99) div 100")), F.least("most", F.expr(f"100 * n div {percent}"))
     cross = cross.withColumns({"lo": lo, "hi": hi}).where(F.col("c") >= F.least(_least_shared("n", "lo", percent), _least_shared("n", "hi", percent)) - 1)
     spokes = scratch.save(cross.select("hub", "sid", "n"), "spokes")
     hubs = members().select(F.col("comp").alias("hub"), "sid", "n").join(spokes.select("hub").distinct(), "hub", "left_semi")
     compared(spokes, hubs, "cross")
-    scratch.drop("rare", "often", "dense", "live", "sets", "placed", "spokes", "sides", "crowded", "crowds")
+    scratch.drop("rare", "often", "dense", "live", "sets", "placed-all", "of-all", "split-all", "open", "spokes", "sides", "tokens", "few", "crowds", "listed", "hubs")
     return roots
 
 
@@ -493,15 +543,16 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     scratch = Scratch(spark, "jaccard")
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     base = scratch.save(_describe(rows, k), "base")
-    n_tokens = base.agg(F.sum("n").alias("n")).first().n or 0
-    roots = _join(rows.select("text"), k, percent, n_tokens, scratch) if n_tokens else None
-    least = base.where("n > 0").groupBy("sid").agg(F.min("key").alias("least"))
+    sums = base.agg(F.sum("n").alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("rows")).first()
+    roots = _join(rows.select("text"), k, percent, sums.n, scratch) if sums.n else None
+    least = base.where("n > 0").groupBy("sid").agg(F.min("key").alias("component_id"), F.count("*").alias("rows"))
     if roots is not None:
-        rooted = scratch.save(least.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid")), "rooted")
-        tops = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-        least = rooted.join(tops, "root").select("sid", "component_id")
-    else:
-        least = least.withColumnRenamed("least", "component_id")
+        rooted = least.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        rooted = scratch.save(rooted.withColumnRenamed("component_id", "least"), "rooted")
+        tops = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+        least = lookup(rooted, tops, "root", "members", F.col("sid"), sums.rows).select("sid", "component_id", "rows")
+    least = scratch.save(least, "least")
     filled, empty = base.where("n > 0"), base.where("n = 0")
-    out = filled.join(least, "sid").select("key", "n", "component_id").union(empty.select("key", "n", "key"))
+    # copies go by their key as well, as a set may be that of very many rows
+    out = lookup(filled, least, "sid", "rows", F.struct("key", "n"), sums.rows or 0).select("key", "n", "component_id").union(empty.select("key", "n", "key"))
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagelayout.llm import components, decontaminate, jaccard_join, sharding
+from pagelayout.llm import components, decontaminate, jaccard_join, lookup, sharding
 from pagelayout.llm.store import Scratch
 
 DOCS = "doc_id long, text string"
@@ -73,6 +73,40 @@ def test_components_equal_brute_force(spark, monkeypatch, seed):
     assert sorted((tuple(r) for r in found), key=str) == brute(rows)
 
 
+@pytest.mark.parametrize("rounds,most_hot", [(0, 3), (1, 3), (2, 10**6)])
+def test_a_passage_in_every_text(spark, monkeypatch, rounds, most_hot):
+    # every token of the passage is hot; with small cells each way to spread it is taken
+    for name, value in (("FREQUENT", 3), ("CROWD", 2), ("BLOCK_TOKENS", 100), ("STAR_ROUNDS", rounds), ("CELL", 2), ("CELL_BLOCKS", 1), ("MAX_FREQUENT", 20)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    monkeypatch.setattr(lookup, "HOT_ROWS", 2)
+    monkeypatch.setattr(lookup, "MOST_HOT", most_hot)
+    rng = random.Random(rounds)
+    passage = " ".join(f"p{i}" for i in range(40))
+    other = [f"w{i}" for i in range(30)]
+    rows = [(i, f"{passage} " + " ".join(rng.choice(other) for _ in range(rng.randrange(0, 30)))) for i in range(90)]
+    rows += [(200 + i, " ".join([*passage.split()[: 20 + i % 20], rng.choice(other)])) for i in range(40)] + [(300 + i, rows[i % 3][1]) for i in range(30)]
+    found = jaccard_join.jaccard_components(spark.createDataFrame(rows, DOCS).repartition(3)).collect()
+    assert sorted((tuple(r) for r in found), key=str) == brute(rows)
+
+
+def test_sizes_bound_the_cells(spark):
+    # sets link only within neighbouring bands of size
+    pairs = spark.createDataFrame([(n, m) for n in range(1, 400) for m in range(n, 4 * n // 3 + 1)], "n int, m int")
+    log = np.log(100 / 75)
+    lo, hi, own = F.floor(F.log(F.col("n").cast("double")) / log - 1 - 1e-9), F.floor(F.log(F.col("n").cast("double")) / log + 1 + 1e-9), F.floor(F.log(F.col("m").cast("double")) / log)
+    assert pairs.where(~own.between(lo, hi)).count() == 0
+
+
+@pytest.mark.parametrize("total", [0, 10, 10**9])
+def test_lookup_is_a_join(spark, monkeypatch, total):
+    monkeypatch.setattr(lookup, "HOT_ROWS", 5)
+    rows = spark.createDataFrame([(k, i, "old") for i, k in enumerate([1] * 20 + [2] * 3 + [3, None, 9])], "k long, i int, v string")
+    table = spark.createDataFrame([(1, 20, "a"), (2, 3, None), (3, 1, "c"), (4, 0, "d")], "k long, w int, v string")
+    found = lookup.lookup(rows, table, "k", "w", F.col("i"), total)
+    assert found.columns == ["k", "i", "v"]
+    assert sorted((r.k, r.i, r.v or "") for r in found.collect()) == sorted([(1, i, "a") for i in range(20)] + [(2, i, "") for i in (20, 21, 22)] + [(3, 23, "c")])
+
+
 def test_join_odd_tables(spark):
     assert jaccard_join.jaccard_components(spark.createDataFrame([], DOCS)).count() == 0
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (None, "q r s"), (7, None)]

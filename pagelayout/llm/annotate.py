@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,8 +23,25 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def annotate(docs: DataFrame, text: str, make: Maker, fields: T.StructType, name: str) -> DataFrame:
-    """`docs` with a struct column `name` (not null) computed from `text`; no shuffle."""
+def _groups(batches: Iterable[pa.RecordBatch], at: int, held: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches whose texts have `held` bytes together, or more by the last; one at a time if it is 0."""
+    group, size = [], 0
+    for batch in batches:
+        group.append(batch)
+        size += batch.column(at).nbytes
+        if size >= held:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
+def annotate(docs: DataFrame, text: str, make: Maker, fields: T.StructType, name: str, held: int = 0) -> DataFrame:
+    """`docs` with a struct column `name` (not null) computed from `text`; no shuffle.
+
+    Texts go to the function a batch at a time, or `held` bytes of them where a call
+    is worth more.
+    """
     prepare(docs.sparkSession)
     if docs.columns.count(text) != 1:
         raise ValueError(f"column {text!r} must exist once")
@@ -34,8 +51,11 @@ def annotate(docs: DataFrame, text: str, make: Maker, fields: T.StructType, name
 
     def run(batches):
         work = make()
-        for batch in batches:
-            found = work(batch.column(at))
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, name])
+        for group in _groups(batches, at, held):
+            found = work(group[0].column(at) if len(group) == 1 else pa.chunked_array([b.column(at) for b in group]).combine_chunks())
+            start = 0
+            for batch in group:
+                yield pa.RecordBatch.from_arrays([*batch.columns, found.slice(start, len(batch))], names=[*batch.schema.names, name])
+                start += len(batch)
 
     return kept.mapInArrow(released(run), schema)

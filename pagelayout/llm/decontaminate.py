@@ -10,6 +10,7 @@ and counts where it reaches the item's window length.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,8 +27,10 @@ from .textops import ALNUM_WORDS, blocks, grams, text_buffers, texts_words, word
 WINDOW_WORDS = 13
 #: Words of a k-gram (fewer in shorter windows).
 GRAM_WORDS = 5
-#: Benchmark words handled, and sent to executors, together (8 bytes each).
+#: Benchmark words that a worker holds at a time (some 30 bytes each, with their prints).
 BLOCK_WORDS = 2_000_000
+#: Bytes of texts that a worker passes by one block after the other, where there are several.
+HELD_BYTES = 64 << 20
 
 FIELDS = T.StructType(
     [
@@ -157,44 +160,60 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     nothing; equal items under several ids all count; the words of an item whose
     id is null count, but it isn't listed. Texts are compared by 64-bit word hashes.
 
-    The benchmark is cut into blocks of `block_words` words (an item is never
-    split) and the documents pass each block in turn, in one job without a shuffle.
+    Rows are judged one by one: repeated ones alike, and an empty table gives no rows;
+    columns of `docs` stay and `name` gives way to one of the same name. Texts of any
+    length are read whole.
+
+    The benchmark is cut into blocks of `block_words` words (an item is never split).
+    A block is a broadcast of its own, which lies on disk until a worker reads it; the
+    worker holds one at a time and passes HELD_BYTES of texts by each. So the documents
+    are read once, in one job without a shuffle, and memory doesn't grow with the
+    benchmark.
     """
     spark = docs.sparkSession
     rows = _benchmark_words(benchmark, item, item_text)
     sized = rows.select("id", "hashes", (F.length("hashes") / 8).cast("long").alias("n"))
     total = sized.agg(F.sum("n").alias("n")).first().n or 0
     n_blocks = -(-total // block_words)
-    out, columns = docs, []
-    for b in range(max(1, n_blocks)):
-        part = sized if n_blocks <= 1 else sized.where(F.pmod(F.xxhash64("id", "hashes"), F.lit(n_blocks)) == b)
+    shared = []
+    for b in range(n_blocks):
+        part = sized if n_blocks == 1 else sized.where(F.pmod(F.xxhash64("id", "hashes"), F.lit(n_blocks)) == b)
         items = sorted(((r.id, np.frombuffer(r.hashes, dtype=np.uint64)) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or "", x[1].tobytes()))
-        shared = spark.sparkContext.broadcast(Index.build(items, window, k) if items else None)
-        columns.append(free_name(out, f"_block{b}"))
-        out = annotate(out, text, _worker(shared, k), FIELDS, columns[-1])
-    if len(columns) == 1:
-        return out.withColumnRenamed(columns[0], free_name(docs, name))
-    return _merged(out, columns, free_name(docs, name))
+        if items:
+            shared.append(spark.sparkContext.broadcast(Index.build(items, window, k)))
+    return annotate(docs, text, _worker(shared, k), FIELDS, free_name(docs, name), HELD_BYTES if len(shared) > 1 else 0)
 
 
-def _worker(shared, k: int):
-    def make():
-        index = shared.value
+def _worker(shared: list, k: int):
+    def indexes() -> Iterator[Index]:
+        for one in shared:
+            yield one.value
+            if len(shared) > 1:
+                # the worker's copy goes; it is read from disk again for the next texts
+                one.__dict__.pop("_value", None)
 
+    def make():
         def work(column: pa.Array) -> pa.StructArray:
             raw, offsets = text_buffers(column)
-            n_words, n_hit, items, spans = [], [], [], []
+            parts, n_words = [], []
             for i, j in blocks(offsets):
-                bounds = offsets[i : j + 1] - offsets[i]
-                h, s, _ = words(raw[offsets[i] : offsets[j]], bounds, ALNUM_WORDS)
-                at = word_bounds(s, bounds)
-                found = find_hits(h, at, index, k) if index is not None else {}
+                h, s, _ = words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], ALNUM_WORDS)
+                at = word_bounds(s, offsets[i : j + 1] - offsets[i])
                 n_words += np.diff(at).tolist()
-                for r in range(j - i):
-                    here = found.get(r, {})
-                    n_hit.append(_covered(list(here)))
-                    items.append(sorted({index.ids[n] for ns in here.values() for n in ns} - {None}) if here else [])
-                    spans.append([x for ab in sorted(here) for x in ab])
+                parts.append((i, h, at))
+            hits: dict[int, dict[tuple[int, int], set]] = {}
+            for index in indexes():
+                for i, h, at in parts:
+                    for r, found in find_hits(h, at, index, k).items():
+                        own = hits.setdefault(i + r, {})
+                        for span, items in found.items():
+                            own.setdefault(span, set()).update(index.ids[n] for n in items)
+            n_hit, items, spans = [], [], []
+            for r in range(len(n_words)):
+                here = hits.get(r, {})
+                n_hit.append(_covered(list(here)))
+                items.append(sorted({x for own in here.values() for x in own} - {None}))
+                spans.append([x for ab in sorted(here) for x in ab])
             return pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.int64()))], names=FIELDS.names)
 
         return work
@@ -202,17 +221,6 @@ def _worker(shared, k: int):
     return make
 
 
-def _merged(df: DataFrame, columns: list[str], name: str) -> DataFrame:
-    """The blocks' findings as one struct: spans are united before words are counted."""
-    items = F.array_sort(F.array_distinct(F.concat(*(F.col(c)["items"] for c in columns))))
-    flat = F.concat(*(F.col(c)["hits"] for c in columns))
-    pairs = F.array_sort(F.transform(F.when(F.size(flat) > 0, F.sequence(F.lit(0), F.size(flat) - 2, F.lit(2))).otherwise(F.array().cast("array<int>")), lambda i: F.struct(F.get(flat, i).alias("a"), F.get(flat, i + 1).alias("b"))))
-    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("reach"))
-    count = F.aggregate(pairs, zero, lambda acc, p: F.struct((acc["n"] + F.greatest(F.lit(0).cast("long"), p["b"] - F.greatest(p["a"], acc["reach"]))).alias("n"), F.greatest(acc["reach"], p["b"]).alias("reach")))["n"]
-    struct = F.struct(F.col(columns[0])["n_words"].alias("n_words"), count.alias("n_hit"), items.alias("items"), F.flatten(F.transform(pairs, lambda p: F.array(p["a"], p["b"]))).alias("hits"))
-    return df.withColumn(name, struct).drop(*columns)
-
-
 def contaminated(found: Column) -> Column:
     """The contract's rule: a twentieth of the words or more are hit."""
     return (found["n_hit"] > 0) & (found["n_hit"] * 20 >= found["n_words"])

@@ -166,8 +166,9 @@ def brute_hits(docs, items):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("block_words", [10**6, 40])
-def test_hits_equal_brute_force(spark, block_words):
+@pytest.mark.parametrize("block_words,held", [(10**6, 0), (40, 1 << 20), (40, 300)])
+def test_hits_equal_brute_force(spark, monkeypatch, block_words, held):
+    monkeypatch.setattr(decontaminate, "HELD_BYTES", held)
     rng = random.Random(3)
     words = [f"k{i}" for i in range(12)]
     items = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([1, 2, 3, 5, 12, 13, 14, 30])))) for i in range(12)]

@@ -22,10 +22,10 @@ def lookup(rows: DataFrame, table: DataFrame, on: str, weight: str, spread: Colu
     least = max(HOT_ROWS, total // MOST_HOT)
     columns = [c for c in table.columns if c not in (on, weight)]
     named = lambda df, p: df.select(F.col(on).alias(f"{p}key"), *(F.col(c).alias(p + c) for c in columns))
-    hot, cold = named(table.where(F.col(weight) >= least), "_h_"), named(table.where(F.col(weight) < least), "_c_").withColumn("_c_own", F.lit(0).cast("long"))
-    served = F.col("_h_key").isNotNull()
-    out = rows.join(F.broadcast(hot), F.col(on) == F.col("_h_key"), "left")
-    out = out.withColumns({"_key": F.when(~served, F.col(on)), "_own": F.when(served, F.xxhash64(spread)).otherwise(F.lit(0).cast("long"))})
-    out = out.join(cold, (F.col("_key") == F.col("_c_key")) & (F.col("_own") == F.col("_c_own")), "left").where("_h_key IS NOT NULL OR _c_key IS NOT NULL")
-    found = [F.when(served, F.col(f"_h_{c}")).otherwise(F.col(f"_c_{c}")).alias(c) for c in columns]
+    hot, cold = named(table.where(F.col(weight) >= least), "_lookup_hot_"), named(table.where(F.col(weight) < least), "_lookup_cold_").withColumn("_lookup_cold_own", F.lit(0).cast("long"))
+    served = F.col("_lookup_hot_key").isNotNull()
+    out = rows.join(F.broadcast(hot), F.col(on) == F.col("_lookup_hot_key"), "left")
+    out = out.withColumns({"_lookup_key": F.when(~served, F.col(on)), "_lookup_own": F.when(served, F.xxhash64(spread)).otherwise(F.lit(0).cast("long"))})
+    out = out.join(cold, (F.col("_lookup_key") == F.col("_lookup_cold_key")) & (F.col("_lookup_own") == F.col("_lookup_cold_own")), "left").where("_lookup_hot_key IS NOT NULL OR _lookup_cold_key IS NOT NULL")
+    found = [F.when(served, F.col(f"_lookup_hot_{c}")).otherwise(F.col(f"_lookup_cold_{c}")).alias(c) for c in columns]
     return out.select(*(c for c in rows.columns if c not in columns), *found)

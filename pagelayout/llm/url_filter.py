@@ -3,8 +3,10 @@
 Features are lexical (lengths, depths, digit ratio, entropy, parameter counts)
 and suffix statistics: how often labelled URLs under the host's last one and
 two labels are blocked. Labelled URLs are those that a rule decides. The trees
-are fitted on a bounded sample of them and become one SQL expression, so URLs
-are judged by expressions and two joins, without Python on the executors.
+are fitted on a bounded sample of them, with suffix statistics that leave out the
+URL's own fold, and tried on a fold they haven't seen. They become one SQL
+expression, so URLs are judged by expressions and one join, without Python on the
+executors.
 """
 
 from __future__ import annotations
@@ -17,12 +19,16 @@ from pyspark.sql import functions as F
 
 from .annotate import free_name
 from .folds import thinned
+from .lookup import lookup
+from .store import Scratch
 
 #: Labelled URLs per verdict that the trees are fitted on, about.
 SAMPLE_PER_VERDICT = 3_000
 TREES, DEPTH, RATE, CUTS, LEAST_ROWS, RIDGE = 24, 3, 0.3, 16, 8, 1.0
 #: Weight of the overall block rate in a suffix's rate, in URLs.
 SMOOTHING = 20.0
+#: Folds of URLs: trees are fitted on all but the first, and a URL they are fitted on has rates from the other folds.
+FOLDS = 5
 
 LEXICAL = ("url_length", "host_length", "path_length", "host_depth", "path_depth", "digit_ratio", "entropy", "n_parameters", "host_hyphens", "longest_label")
 SUFFIX = ("rate_1", "rate_2", "log_seen_2")
@@ -106,6 +112,8 @@ class Node:
 class Model:
     base: float
     trees: list[Node] = field(default_factory=list)
+    #: Labelled URLs the trees haven't seen, and how many of them they judge as the rules do.
+    held_out: tuple[int, int] = (0, 0)
 
     def logit(self) -> Column:
         """The blocking score's log-odds, from columns named as the features."""
@@ -169,12 +177,68 @@ def fit(rows: list[dict], labels: list[int]) -> Model:
 
 
 def _featured(pages: DataFrame, key: str, url: str, rules: list[Rule]) -> DataFrame:
-    """Key, host, path, rule, ruled verdict, suffixes and lexical features; no other column of `pages`."""
+    """Key, host, path, rule, ruled verdict, suffixes, fold and lexical features; no other column of `pages`."""
     host, path = parts(F.col("_url"))
-    df = pages.select(F.col(key).alias("_key"), F.col(url).alias("_url")).select("_key", "_url", host.alias("host"), path.alias("path"))
+    df = pages.select(F.col(key).alias("_key"), F.col(url).cast("string").alias("_url")).select("_key", "_url", host.alias("host"), path.alias("path"))
     last = lambda n: F.substring_index("host", ".", -n).alias(f"_suffix_{n}")
     ruled = [matched_rule(F.col("host"), F.col("path"), rules, w).alias(c) for w, c in (("name", "rule"), ("verdict", "_ruled"))]
-    return df.select("_key", "host", "path", *ruled, last(1), last(2), *lexical(F.col("_url"), F.col("host"), F.col("path")).values())
+    # copies of a URL are in one fold
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "_url"), F.lit(FOLDS)).cast("int").alias("_fold")
+    return df.select("_key", "host", "path", *ruled, last(1), last(2), fold, *lexical(F.col("_url"), F.col("host"), F.col("path")).values())
+
+
+def _label() -> Column:
+    """1 where a rule blocks, 0 where one allows, else null."""
+    return F.when(F.col("_ruled") == "block", 1).when(F.col("_ruled") == "allow", 0)
+
+
+def _suffixes(featured: DataFrame) -> DataFrame:
+    """A row a two-label suffix: its URLs, and labelled and blocked ones by fold, of its last label's URLs too."""
+    in_fold = lambda i, x: F.sum(F.when(F.col("_fold") == i, x).otherwise(0))
+    lists = lambda x: F.array(*(in_fold(i, x) for i in range(FOLDS)))
+    labelled, blocked = F.when(F.col("_ruled").isNotNull(), 1).otherwise(0), F.coalesce(F.when(F.col("_ruled") == "block", 1), F.lit(0))
+    two = featured.groupBy("_suffix_2").agg(F.first("_suffix_1").alias("_suffix_1"), F.count("*").alias("urls"), lists(labelled).alias("seen_2"), lists(blocked).alias("blocked_2"))
+    sums = lambda c: F.array(*(F.sum(F.get(c, i)) for i in range(FOLDS)))
+    one = two.groupBy("_suffix_1").agg(F.count("*").alias("suffixes"), sums("seen_2").alias("seen_1"), sums("blocked_2").alias("blocked_1"))
+    # there are no more suffixes than URLs
+    return lookup(two, one, "_suffix_1", "suffixes", F.col("_suffix_2"), featured.count()).drop("_suffix_1")
+
+
+def _rates(df: DataFrame, seen: list[int], blocked: list[int], out_of_fold: bool) -> DataFrame:
+    """Adds SUFFIX to rows joined with `_suffixes`; `out_of_fold` leaves the row's own fold out of all counts."""
+
+    def total(c: Column) -> Column:
+        whole = F.aggregate(c, F.lit(0).cast("long"), lambda a, b: a + b)
+        return whole - F.get(c, F.col("_fold")) if out_of_fold else whole
+
+    constant = lambda x: F.array(*(F.lit(v).cast("long") for v in x))
+    overall = total(constant(blocked)) / F.greatest(F.lit(1), total(constant(seen)))
+    if not sum(seen):
+        overall = F.lit(0.5)
+    rates = {f"rate_{n}": F.round((total(F.col(f"blocked_{n}")) + SMOOTHING * overall) / (total(F.col(f"seen_{n}")) + SMOOTHING), 9) for n in (1, 2)}
+    return df.withColumns(rates | {"log_seen_2": F.round(F.log1p(total(F.col("seen_2")).cast("double")), 9)})
+
+
+def learn(featured: DataFrame, suffixes: DataFrame, per_verdict: int = SAMPLE_PER_VERDICT) -> tuple[Model, list[int], list[int]]:
+    """(model, labelled URLs by fold, blocked ones by fold), from written `_featured` and `_suffixes`."""
+    sums = suffixes.agg(*(F.sum(F.get(c, i)).alias(f"{c}{i}") for c in ("seen_2", "blocked_2") for i in range(FOLDS))).first()
+    seen, blocked = ([sums[f"{c}{i}"] or 0 for i in range(FOLDS)] for c in ("seen_2", "blocked_2"))
+    n, bad = sum(seen), sum(blocked)
+    share = F.when(_label() == 1, min(1.0, per_verdict / max(1, bad))).otherwise(min(1.0, per_verdict / max(1, n - bad)))
+    # about twice per_verdict rows: few enough to be sent, as are their suffixes
+    some = thinned(featured.where(_label().isNotNull() & F.col("_key").isNotNull()), "_key", share)
+    own = suffixes.join(F.broadcast(some.select("_suffix_2").distinct()), "_suffix_2", "left_semi")
+    rows = _rates(some.join(F.broadcast(own), "_suffix_2"), seen, blocked, True)
+    found = [r.asDict() for r in rows.select(_label().alias("_y"), "_fold", *LEXICAL, *SUFFIX).collect()]
+    found.sort(key=lambda r: tuple(r.values()))
+    tried, known = [r for r in found if r["_fold"] == 0], [r for r in found if r["_fold"] != 0]
+    model = fit(known or tried, [r["_y"] for r in known or tried])
+    # the sample holds verdicts in other shares than the labelled URLs
+    drawn = sum(r["_y"] for r in known or tried)
+    if 0 < bad < n and 0 < drawn < len(known or tried):
+        model.base += math.log(bad / (n - bad)) - math.log(drawn / (len(known or tried) - drawn))
+    model.held_out = (len(tried), sum((model.predict(r) >= 0) == (r["_y"] == 1) for r in tried)) if known else (0, 0)
+    return model, seen, blocked
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule], key: str = "page_id", url: str = "url", name: str = "judged", per_verdict: int = SAMPLE_PER_VERDICT, threshold: float = 0.5) -> DataFrame:
@@ -183,31 +247,19 @@ def filter_urls(pages: DataFrame, rules: list[Rule], key: str = "page_id", url:
     A rule's verdict stands; other URLs are blocked from `threshold` on. Rules of
     equal length go by name. A null or hostless URL has empty host and path and is
     judged like any other by its features. Without URLs of both verdicts the score
-    is the share of blocked ones (a half without labels). Repeated rows stay.
+    is the share of blocked ones (a half without labels). Repeated rows stay, an empty
+    table gives no rows, and other columns of `pages` are ignored, whatever their names.
 
-    Suffix rates count every labelled URL; the trees see about `per_verdict` of
-    each verdict, chosen by a hash of the key. `rules` is a list of the caller's,
-    short enough to be part of the plan.
+    `pages` is read once; the features are written and read again. Suffix rates count
+    every labelled URL; the trees see about `per_verdict` of each verdict, chosen by a
+    hash of the key. `rules` is a list of the caller's, short enough to be part of the
+    plan.
     """
-    df = _featured(pages, key, url, rules)
-    block = F.when(F.col("_ruled") == "block", 1).when(F.col("_ruled") == "allow", 0)
-    sizes = {r["_y"]: r["n"] for r in df.groupBy(block.alias("_y")).agg(F.count("*").alias("n")).collect()}
-    seen, blocked = sizes.get(0, 0) + sizes.get(1, 0), sizes.get(1, 0)
-    overall = blocked / seen if seen else 0.5
-    for n in (1, 2):
-        at = f"_suffix_{n}"
-        rates = df.where(F.col("_ruled").isNotNull()).groupBy(at).agg(((F.sum(block) + SMOOTHING * overall) / (F.count("*") + SMOOTHING)).alias(f"rate_{n}"), F.round(F.log1p(F.count("*").cast("double")), 9).alias(f"log_seen_{n}"))
-        df = df.join(rates.withColumnRenamed(at, "_at"), F.col(at) == F.col("_at"), "left").drop("_at")
-    df = df.withColumns({f"rate_{n}": F.round(F.coalesce(f"rate_{n}", F.lit(overall)), 9) for n in (1, 2)} | {"log_seen_2": F.coalesce("log_seen_2", F.lit(0.0))})
-    share = F.when(block == 1, min(1.0, per_verdict / max(1, sizes.get(1, 0)))).otherwise(min(1.0, per_verdict / max(1, sizes.get(0, 0))))
-    sample = thinned(df.where(block.isNotNull() & F.col("_key").isNotNull()), "_key", share).select(block.alias("_y"), *LEXICAL, *SUFFIX).collect()
-    rows = sorted((r.asDict() for r in sample), key=lambda r: tuple(r.values()))
-    model = fit(rows, [r["_y"] for r in rows])
-    # the sample holds verdicts in other shares than the labelled URLs
-    if 0 < blocked < seen and rows:
-        drawn = sum(r["_y"] for r in rows)
-        if 0 < drawn < len(rows):
-            model.base += math.log(blocked / (seen - blocked)) - math.log(drawn / (len(rows) - drawn))
+    scratch = Scratch(pages.sparkSession, "urls")
+    df = scratch.save(_featured(pages, key, url, rules), "featured")
+    suffixes = scratch.save(_suffixes(df), "suffixes")
+    model, seen, blocked = learn(df, suffixes, per_verdict)
+    df = _rates(lookup(df, suffixes, "_suffix_2", "urls", F.struct("_key", "path"), df.count()), seen, blocked, False)
     score = 1 / (1 + F.exp(-model.logit()))
     verdict = F.coalesce("_ruled", F.when(F.col("score") >= threshold, "block").otherwise("allow"))
     return df.withColumn("score", score).select(F.col("_key").alias(key), F.struct("host", "path", "rule", verdict.alias("verdict"), "score").alias(free_name(pages.select(key), name)))

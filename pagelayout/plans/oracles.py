@@ -54,7 +54,7 @@ def _with(*names: str, recursive: bool = False) -> str:
 
     for n in names:
         add(n)
-    return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(f"{n} AS {'MATERIALIZED ' if n in ('det', 'lab', 'word', 'ses', 'grid', 'comp') else ''}({_LET[n]})" for n in seen)
+    return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(f"{n} AS {'MATERIALIZED ' if n in ('det', 'lab', 'word', 'ses', 'grid', 'comp', 'pw') else ''}({_LET[n]})" for n in seen)
 
 
 def _sql(name: str, needs: list[str], body: str, recursive: bool = False) -> None:
@@ -349,3 +349,15 @@ _LET["ink"] = "SELECT vec_id AS map_id, r, c, r * 8 + c AS k FROM grid WHERE z >
 _LET["spill"] = "SELECT map_id, k, k AS o FROM ink UNION SELECT f.map_id, f.k, b.k FROM spill f JOIN ink a ON a.map_id = f.map_id AND a.k = f.o JOIN ink b ON b.map_id = a.map_id AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1"
 _NEEDS |= {"ink": ["grid"], "spill": ["ink"]}
 _sql("b10_ink_components", ["spill"], ", s AS (SELECT map_id, k, min(o) AS root FROM spill GROUP BY map_id, k) SELECT map_id AS vec_id, CAST(row_number() OVER (PARTITION BY map_id ORDER BY root) AS INT) AS comp_id, min(c) AS x, min(r) AS y, max(c) - min(c) + 1 AS w, max(r) - min(r) + 1 AS h, CAST(count(*) AS INT) AS area FROM s JOIN ink USING (map_id, k) GROUP BY map_id, root", recursive=True)
+
+
+# packing: what each word knows, a fold over the words of a page, and lines from where they begin
+_LET["pw0"] = "SELECT s.*, p.para_start, row_number() OVER w AS rn, lag(s.x2) OVER w AS before, lag(s.line) OVER w IS DISTINCT FROM s.line AS first, coalesce(lag(s.word_id % 17 = 0) OVER w, false) AS joined, avg(s.x2 - s.x1) OVER (PARTITION BY s.page_id) AS mean_w FROM ses s JOIN para p ON p.page_id = s.page_id AND p.line = s.line WINDOW w AS (PARTITION BY s.page_id ORDER BY s.line, s.x1, s.word_id)"
+_LET["pw"] = "SELECT page_id, rn, word_id, x1, x2, x2 - x1 AS px, CAST(trunc((x2 - x1) * 1.5::DOUBLE) AS INT) AS size, CAST(CASE WHEN first THEN CASE WHEN joined THEN 0 ELSE avg_space END WHEN x1 > before THEN trunc((x1 - before) * 1.5::DOUBLE) WHEN x1 - before >= -10 THEN greatest(1, floor((x1 - before + 10) * 1.5::DOUBLE / 2)) ELSE avg_space END AS INT) AS gap, CAST(CASE WHEN first AND para_start THEN trunc(mean_w * 1.5 * 0.5) ELSE 0 END AS INT) AS indent, first AND para_start AS mark, CAST(greatest(4, round_even(greatest(4, trunc((y2 - y1) * 1.5::DOUBLE)) * 0.35::DOUBLE, 0)) AS INT) + 4 AS hyphen FROM pw0 JOIN gapm USING (page_id)"
+# the last letter end (8, 18, ... up to the word's width) within the room, if the word can be cut there
+_ROOM = "(640 - p.indent - CASE WHEN p.rn = 1 THEN 0 ELSE f.used + p.gap END)"
+_AT = f"least(8 + 10 * CAST(floor((least(floor({_ROOM} / 1.5::DOUBLE), p.px) - 8) / 10) AS INT), p.px - 1)"
+_FATE = f"CASE WHEN p.size <= {_ROOM} THEN 0 WHEN {_ROOM} >= 12 AND p.px >= 18 AND {_AT} >= greatest(10, CAST(trunc(p.px * 0.15::DOUBLE) AS INT)) THEN 2 WHEN p.rn > 1 THEN 1 ELSE 0 END"
+_LET["pf"] = f"SELECT DISTINCT page_id, 0::BIGINT AS rn, 0 AS used, 0 AS fate, 0 AS cut FROM pw UNION ALL SELECT page_id, rn, CASE fate WHEN 2 THEN CAST(trunc((px - cut) * 1.5::DOUBLE) AS INT) WHEN 1 THEN size ELSE size + CASE WHEN rn = 1 THEN indent ELSE used + gap END END, fate, cut FROM (SELECT p.page_id, p.rn, p.px, p.size, p.gap, p.indent, f.used, {_FATE} AS fate, {_AT} AS cut FROM pf f JOIN pw p ON p.page_id = f.page_id AND p.rn = f.rn + 1)"
+_NEEDS |= {"pw0": ["ses", "para"], "pw": ["pw0", "gapm"], "pf": ["pw"]}
+_sql("g18_pack_lines", ["pf"], ", d AS (SELECT p.*, f.fate, f.cut, half FROM pw p JOIN pf f ON f.page_id = p.page_id AND f.rn = p.rn, (VALUES (1), (2)) h(half) WHERE half = 1 OR fate = 2), l AS (SELECT *, CASE WHEN half = 2 OR fate = 1 OR rn = 1 THEN 1 ELSE 0 END AS fresh FROM d), n AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY page_id ORDER BY rn, half ROWS UNBOUNDED PRECEDING) AS INT) AS out_line FROM l), m AS (SELECT page_id, out_line - 1 AS out_line, true AS para_start FROM n WHERE fate = 1 AND mark) SELECT n.page_id, n.out_line, CAST(row_number() OVER (PARTITION BY n.page_id, n.out_line ORDER BY rn, half) AS INT) AS pos, word_id, CASE WHEN half = 2 THEN x1 + cut ELSE x1 END AS x1, CASE WHEN half = 1 AND fate = 2 THEN x1 + cut ELSE x2 END AS x2, CASE WHEN half = 2 OR fate = 1 THEN 0 WHEN rn = 1 THEN indent ELSE gap END AS space, CASE WHEN half = 1 AND fate = 2 THEN hyphen ELSE 0 END AS hyphen_w, coalesce(m.para_start, false) AS para_start FROM n LEFT JOIN m ON m.page_id = n.page_id AND m.out_line = n.out_line", recursive=True)

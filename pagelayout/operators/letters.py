@@ -1,19 +1,15 @@
 """Letters within words, from connected components.
 
 Components: word_key, comp_id (their order within the word), x, y, w, h, area in a
-word of word_w by word_h. Steps that depend on order run over one word's few
-components at a time.
+word of word_w by word_h. Steps that depend on order are folds over one word's few
+components.
 """
 
 from __future__ import annotations
 
-from statistics import median
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelayout.functions.pages import per_page
-
 KEY = "word_key"
 PAD = 2
 
@@ -42,61 +38,91 @@ def diacritics(valid: DataFrame) -> DataFrame:
     return valid.withColumn("median_h", med).withColumn("is_mark", F.expr(small))
 
 
-def _around(boxes: list[tuple]) -> tuple:
-    x, y = min(b[0] for b in boxes), min(b[1] for b in boxes)
-    return x, y, max(b[0] + b[2] for b in boxes) - x, max(b[1] + b[3] for b in boxes) - y
+#: A component, or what was joined of some.
+_LETTER = "struct<id:int,x:int,y:int,w:int,h:int>"
+
+
+def _around(boxes: Column, number: Column) -> Column:
+    """The box around some, under the given number."""
+    least = lambda f: F.array_min(F.transform(boxes, f))
+    x, y = least(lambda b: b["x"]), least(lambda b: b["y"])
+    right, low = F.array_max(F.transform(boxes, lambda b: b["x"] + b["w"])), F.array_max(F.transform(boxes, lambda b: b["y"] + b["h"]))
+    return F.struct(number.alias("id"), x.alias("x"), y.alias("y"), (right - x).alias("w"), (low - y).alias("h"))
+
+
+def _alike(a: Column, b: Column, m: Column) -> Column:
+    """Close side by side, at one height and of like height: strokes of one letter."""
+    gap = F.greatest(F.lit(0), a["x"] - (b["x"] + b["w"]), b["x"] - (a["x"] + a["w"]))
+    shared, low = F.least(a["y"] + a["h"], b["y"] + b["h"]) - F.greatest(a["y"], b["y"]), F.least(a["h"], b["h"])
+    return (gap < m * 0.3) & (shared > low * 0.5) & (F.greatest(a["h"], b["h"]) / F.greatest(low, F.lit(1)) < 1.5)
+
+
+def _over(mark: Column, letter: Column, m: Column) -> Column:
+    """A mark that belongs to a letter: above or within it, and about its middle."""
+    beside = F.least(mark["x"] + mark["w"], letter["x"] + letter["w"]) > F.greatest(mark["x"], letter["x"])
+    middle = F.abs(mark["x"] + mark["w"] / 2 - (letter["x"] + letter["w"] / 2)) < letter["w"] * 0.5
+    return beside & middle & (letter["y"] - (mark["y"] + mark["h"]) < m) & (mark["y"] + mark["h"] <= letter["y"] + letter["h"])
+
+
+def _empty(kind: str) -> Column:
+    return F.array().cast(f"array<{kind}>")
+
+
+def _ids(boxes: Column) -> Column:
+    return F.transform(boxes, lambda b: b["id"])
+
+
+def _strokes_joined(letters: Column, m: Column) -> Column:
+    """(seeds, taken): each letter that none before took in, with all it takes in, by its own box alone."""
+    zero = F.struct(_empty(_LETTER).alias("seeds"), _empty("int").alias("taken"))
+
+    def step(acc: Column, a: Column) -> Column:
+        own = F.filter(letters, lambda b: (b["id"] != a["id"]) & ~F.array_contains(acc["taken"], b["id"]) & _alike(a, b, m))
+        group = F.concat(F.array(a), own)
+        grown = F.struct(F.concat(acc["seeds"], F.array(_around(group, a["id"]))).alias("seeds"), F.concat(acc["taken"], _ids(group)).alias("taken"))
+        return F.when(F.array_contains(acc["taken"], a["id"]), acc).otherwise(grown)
+
+    return F.aggregate(letters, zero, step, lambda acc: acc["seeds"])
+
+
+def _marks_joined(marks: Column, seeds: Column, m: Column) -> Column:
+    """(made, used): each mark with the letters under it that no mark has yet, and the numbers that went into it."""
+    zero = F.struct(_empty(_LETTER).alias("made"), _empty("int").alias("used"))
+
+    def step(acc: Column, a: Column) -> Column:
+        hits = F.filter(seeds, lambda b: ~F.array_contains(acc["used"], b["id"]) & _over(a, b, m))
+        group = F.concat(F.array(a), hits)
+        grown = F.struct(F.concat(acc["made"], F.array(_around(group, a["id"]))).alias("made"), F.concat(acc["used"], _ids(group)).alias("used"))
+        return F.when(F.size(hits) == 0, acc).otherwise(grown)
+
+    return F.aggregate(marks, zero, step)
 
 
-def joined_letters(page: list[dict]) -> list[tuple]:
-    """G6-G8 for one word: boxes (x, y, w, h) of its letters, marks included.
+def joined_letters(marked: DataFrame) -> DataFrame:
+    """(word_key, letter, x, y, w, h): a word's letters, marks included, from `diacritics`.
 
     A letter takes in later or earlier neighbours that look like its own strokes,
     measured against its first box; a mark joins the letters under it that no mark
-    has yet; what was taken in on the way comes back as it was.
+    has yet; what was taken in on the way comes back as it was. Words are folded one
+    by one, by expressions over the array of their components.
     """
-    boxes = {r["comp_id"]: (r["x"], r["y"], r["w"], r["h"]) for r in page}
-    m = page[0]["median_h"] if page else 0.0
-    letters = [r["comp_id"] for r in page if not r["is_mark"]]
-    seeds: dict[int, tuple] = {}
-    taken: set[int] = set()
-
-    def alike(a: tuple, b: tuple) -> bool:
-        gap = max(0, a[0] - (b[0] + b[2]), b[0] - (a[0] + a[2]))
-        shared, low = min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1]), min(a[3], b[3])
-        return gap < m * 0.3 and shared > low * 0.5 and max(a[3], b[3]) / max(low, 1) < 1.5
-
-    for i in letters:
-        if i not in taken:
-            own = [j for j in letters if j != i and j not in taken and alike(boxes[i], boxes[j])]
-            taken.update(own, [i])
-            seeds[i] = _around([boxes[i], *(boxes[j] for j in own)])
-
-    used: set[int] = set()
-    out = []
-    for r in page:
-        if not r["is_mark"]:
-            continue
-        x, y, w, h = boxes[r["comp_id"]]
-        hits = []
-        for i, (lx, ly, lw, lh) in seeds.items():
-            over = min(x + w, lx + lw) > max(x, lx) and abs(x + w / 2 - (lx + lw / 2)) < lw * 0.5
-            if i not in used and over and ly - (y + h) < m and y + h <= ly + lh:
-                hits.append(i)
-        if hits:
-            out.append(_around([(x, y, w, h), *(seeds[i] for i in hits)]))
-            used.update(hits, [r["comp_id"]])
-    out += [b for i, b in seeds.items() if i not in used]
-    used.update(seeds)
-    return out + [b for i, b in boxes.items() if i not in used]
+    box = F.struct(F.col("comp_id").cast("int").alias("id"), *(F.col(c).cast("int").alias(c) for c in "xywh"), "is_mark")
+    words = marked.groupBy(KEY).agg(F.sort_array(F.collect_list(box)).alias("_all"), F.first("median_h").alias("_m"))
+    part = lambda keep: F.transform(F.filter("_all", keep), lambda b: F.struct(*(b[c].alias(c) for c in ("id", *"xywh"))))
+    words = words.select(KEY, "_m", part(lambda b: F.lit(True)).alias("_boxes"), part(lambda b: ~b["is_mark"]).alias("_letters"), part(lambda b: b["is_mark"]).alias("_marks"))
+    words = words.withColumn("_seeds", _strokes_joined(F.col("_letters"), F.col("_m")))
+    words = words.withColumn("_joined", _marks_joined(F.col("_marks"), F.col("_seeds"), F.col("_m")))
+    free = F.filter("_seeds", lambda b: ~F.array_contains(F.col("_joined")["used"], b["id"]))
+    rest = F.filter("_boxes", lambda b: ~F.array_contains(F.concat(F.col("_joined")["used"], _ids(F.col("_seeds"))), b["id"]))
+    out = words.select(KEY, F.posexplode(F.concat(F.col("_joined")["made"], free, rest)).alias("letter", "_b"))
+    return out.select(KEY, "letter", *(F.col("_b")[c].alias(c) for c in "xywh"))
 
 
 def letter_boxes(comps: DataFrame) -> DataFrame:
     """(word_key, letter, x, y, w, h, median_h, word_w, word_h): letters of each word, fragments gone."""
     marked = diacritics(valid_components(comps))
     size = marked.groupBy(KEY).agg(F.first("median_h").alias("median_h"), F.first("word_w").alias("word_w"), F.first("word_h").alias("word_h"))
-    cols = [KEY, "comp_id", "x", "y", "w", "h", "median_h", "is_mark"]
-    rows = per_page(marked.select(*cols), [KEY], ["comp_id"], lambda page: [(i, *b) for i, b in enumerate(joined_letters(page))], "letter int, x int, y int, w int, h int")
-    return without_fragments(rows.join(size, KEY))
+    return without_fragments(joined_letters(marked).join(size, KEY))
 
 
 def without_fragments(letters: DataFrame) -> DataFrame:

@@ -76,12 +76,14 @@ def sampled_regions(boxes: DataFrame, key: str, page_w: int, page_h: int, size:
     """
     rows = boxes.withColumns({"w": F.col("x2") - F.col("x1"), "h": F.col("y2") - F.col("y1")}).where("w > 50 AND h > 50")
     rows = rows.withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(tries))))
-    hashed = lambda n, room: F.pmod(F.xxhash64(F.lit(seed), F.lit(n), key, "x1", "y1", "attempt"), F.greatest(F.lit(1), room)).cast("int")
+    # MD5 of plain text, so that other engines find the same places
+    digest = lambda n: F.md5(F.encode(F.concat_ws(":", F.lit(seed), F.lit(n), *(F.col(c).cast("string") for c in (key, "x1", "y1", "attempt"))), "UTF-8"))
+    hashed = lambda n, room: F.pmod(F.conv(F.substring(digest(n), 1, 12), 16, 10).cast("long"), F.greatest(F.lit(1), room)).cast("int")
     small = (F.col("w") < size) | (F.col("h") < size)
     x = F.when(small, F.col("x1")).otherwise(F.greatest(F.lit(0), F.least(F.col("x1") + hashed(0, F.col("w") - size + 1), F.lit(page_w - size))))
     y = F.when(small, F.col("y1")).otherwise(F.greatest(F.lit(0), F.least(F.col("y1") + hashed(1, F.col("h") - size + 1), F.lit(page_h - size))))
     rows = rows.where(~small | (F.col("attempt") == 1)).withColumns({"x": x, "y": y})
-    order = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(F.lit(seed), "x1", "y1", "attempt"), "x1", "y1", "attempt"))
+    order = F.row_number().over(Window.partitionBy(key).orderBy(digest(2), "x1", "y1", "attempt"))
     return rows.withColumn("region", order).where(F.col("region") <= most).select(key, "region", F.col("x").alias("x1"), F.col("y").alias("y1"), F.when(small, F.col("x2")).otherwise(F.col("x") + size).alias("x2"), F.when(small, F.col("y2")).otherwise(F.col("y") + size).alias("y2"))
 
 

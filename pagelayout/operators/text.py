@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from pagelayout.functions.workers import ship
 from pagelayout.schema import DEFAULT_LANGUAGE, languages
 
 
@@ -55,34 +59,103 @@ def joined(parts: DataFrame, key: str, order: str, text: str = "text") -> DataFr
     return parts.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(kept)), lambda x: x["x"]), " ").alias("text"))
 
 
-def _trigrams(text: Column) -> Column:
-    padded = F.concat(F.lit(" "), F.lower(F.regexp_replace(text, r"\s+", " ")), F.lit(" "))
-    # by an array of characters, as finding a place in a string takes time in proportion to it
-    chars = F.filter(F.split(padded, ""), lambda c: c != "")
-    pairs = F.arrays_zip(chars.alias("a"), F.slice(chars, 2, F.greatest(F.lit(1), F.size(chars) - 1)).alias("b"), F.slice(chars, 3, F.greatest(F.lit(1), F.size(chars) - 2)).alias("c"))
-    return F.transform(F.slice(pairs, 1, F.greatest(F.lit(1), F.size(chars) - 2)), lambda x: F.concat_ws("", x["a"], x["b"], x["c"]))
+#: Trigrams that a task counts before it passes them on.
+HELD_GRAMS = 1 << 20
+
+
+def _plain(text: Column) -> Column:
+    return F.concat(F.lit(" "), F.lower(F.regexp_replace(text, r"\s+", " ")), F.lit(" "))
+
+
+def _grams(text: str) -> np.ndarray:
+    """A number for each trigram of code points, in the order of the strings; what is shorter is one gram."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    if len(code) < 3:
+        code = np.concatenate([code, np.zeros(3 - len(code), dtype=np.uint64)])
+    return (code[:-2] << np.uint64(42)) | (code[1:-1] << np.uint64(21)) | code[2:]
+
+
+def _spelt(gram: int) -> str:
+    return "".join(chr(x) for x in (gram >> 42, gram >> 21 & 0x1FFFFF, gram & 0x1FFFFF) if x)
 
 
 def language_profiles(docs: DataFrame, lang: str = "lang", text: str = "text", size: int = 300) -> DataFrame:
-    """(lang, gram, rank): the most frequent character trigrams of each language, ties by the gram."""
-    counts = docs.select(F.col(lang).alias("lang"), F.explode(_trigrams(F.col(text))).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n"))
+    """(lang, gram, rank): the most frequent character trigrams of each language, ties by the gram.
+
+    Tasks count the trigrams of their texts, so a row leaves them for a trigram and
+    not for a character. Null texts have none.
+    """
+    ship(docs.sparkSession)
+    rows = docs.select(F.col(lang).cast("string").alias("lang"), _plain(F.col(text)).alias("text")).where("text IS NOT NULL")
+
+    def run(batches):
+        held: dict[str | None, list[np.ndarray]] = {}
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            out: tuple[list, list, list] = ([], [], [])
+            for name, parts in held.items():
+                gram, n = np.unique(np.concatenate(parts), return_counts=True)
+                out[0].extend([name] * len(gram))
+                out[1].extend(map(_spelt, gram.tolist()))
+                out[2].extend(n.tolist())
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64())], names=["lang", "gram", "n"])
+
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                grams = _grams(text)
+                held.setdefault(name, []).append(grams)
+                size += len(grams)
+                if size >= HELD_GRAMS:
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
+
+    counts = rows.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     return counts.withColumn("rank", rank).where(F.col("rank") <= size).select("lang", "gram", "rank")
 
 
-def classify(docs: DataFrame, profiles: DataFrame, key: str = "doc_id", text: str = "text", size: int = 300) -> DataFrame:
+def classify(docs: DataFrame, profiles: DataFrame, key: str = "doc_id", text: str = "text", size: int = 300, most_languages: int = 1_000) -> DataFrame:
     """(key, lang, distance): the profile nearest to a text's own by the sum of rank differences (Cavnar and Trenkle).
 
-    A gram that a profile lacks costs `size`. The profiles, languages times `size`
-    rows, are the small side.
+    A gram that a profile lacks costs `size`; languages at one distance go by name. Each
+    row is judged by its own text, in one pass without a shuffle; null texts give no
+    row. The profiles, of `most_languages` at most (more are an error), are sent to all.
     """
-    own = docs.select(key, F.explode(_trigrams(F.col(text))).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("n"))
-    mine = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "gram"))
-    own = own.withColumn("mine", mine).where(F.col("mine") <= size)
-    sizes = own.groupBy(key).agg(F.count("*").alias("grams"))
-    near = own.join(profiles, "gram").groupBy(key, "lang").agg(F.sum(F.abs(F.col("mine") - F.col("rank")) - size).alias("saved"))
-    best = near.groupBy(key).agg(F.min(F.struct("saved", "lang")).alias("b"))
-    return sizes.join(best, key, "left").select(key, F.coalesce("b.lang", F.lit(DEFAULT_LANGUAGE)).alias("lang"), (F.col("grams") * size + F.coalesce("b.saved", F.lit(0))).alias("distance"))
+    ship(docs.sparkSession)
+    known: dict[str, list[tuple[int, int]]] = {}
+    for r in profiles.where(F.col("lang").isNotNull()).limit(most_languages * size + 1).collect():
+        code = _grams(r["gram"])
+        known.setdefault(r["lang"], []).append((int(code[0]), r["rank"]))
+    if len(known) > most_languages:
+        raise ValueError(f"profiles of more than {most_languages} languages")
+    tables = [(name, *np.array(sorted(known[name]), dtype=np.uint64).T) for name in sorted(known)]
+    shared = docs.sparkSession.sparkContext.broadcast(tables)
+    rows = docs.select(F.col(key), _plain(F.col(text)).alias("_text")).where("_text IS NOT NULL")
+
+    def judged(text: str, profiles: list) -> tuple[str, int]:
+        gram, n = np.unique(_grams(text), return_counts=True)
+        own = gram[np.lexsort((gram, -n))[:size]]
+        mine = np.arange(1, len(own) + 1)
+        near = []
+        for name, grams, ranks in profiles:
+            at = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
+            same = grams[at] == own
+            if same.any():
+                near.append((int((np.abs(mine[same] - ranks[at[same]].astype(np.int64)) - size).sum()), name))
+        saved, name = min(near, default=(0, DEFAULT_LANGUAGE))
+        return name, len(own) * size + saved
+
+    def run(batches):
+        profiles = shared.value
+        for batch in batches:
+            found = [judged(x, profiles) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([d for _, d in found], pa.int64())], names=[key, "lang", "distance"])
+
+    return rows.mapInArrow(run, T.StructType([rows.schema[key], T.StructField("lang", T.StringType()), T.StructField("distance", T.LongType())]))
 
 
 def confidence(score: Column) -> Column:

@@ -54,7 +54,7 @@ def _with(*names: str, recursive: bool = False) -> str:
 
     for n in names:
         add(n)
-    return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(f"{n} AS {'MATERIALIZED ' if n in ('det', 'lab', 'word', 'ses', 'grid', 'comp', 'pw') else ''}({_LET[n]})" for n in seen)
+    return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(f"{n} AS {'MATERIALIZED ' if n in ('det', 'lab', 'word', 'ses', 'grid', 'comp', 'pw', 'mk2', 'lg', 'sd', 'mt', 'le') else ''}({_LET[n]})" for n in seen)
 
 
 def _sql(name: str, needs: list[str], body: str, recursive: bool = False) -> None:
@@ -361,3 +361,35 @@ _FATE = f"CASE WHEN p.size <= {_ROOM} THEN 0 WHEN {_ROOM} >= 12 AND p.px >= 18 A
 _LET["pf"] = f"SELECT DISTINCT page_id, 0::BIGINT AS rn, 0 AS used, 0 AS fate, 0 AS cut FROM pw UNION ALL SELECT page_id, rn, CASE fate WHEN 2 THEN CAST(trunc((px - cut) * 1.5::DOUBLE) AS INT) WHEN 1 THEN size ELSE size + CASE WHEN rn = 1 THEN indent ELSE used + gap END END, fate, cut FROM (SELECT p.page_id, p.rn, p.px, p.size, p.gap, p.indent, f.used, {_FATE} AS fate, {_AT} AS cut FROM pf f JOIN pw p ON p.page_id = f.page_id AND p.rn = f.rn + 1)"
 _NEEDS |= {"pw0": ["ses", "para"], "pw": ["pw0", "gapm"], "pf": ["pw"]}
 _sql("g18_pack_lines", ["pf"], ", d AS (SELECT p.*, f.fate, f.cut, half FROM pw p JOIN pf f ON f.page_id = p.page_id AND f.rn = p.rn, (VALUES (1), (2)) h(half) WHERE half = 1 OR fate = 2), l AS (SELECT *, CASE WHEN half = 2 OR fate = 1 OR rn = 1 THEN 1 ELSE 0 END AS fresh FROM d), n AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY page_id ORDER BY rn, half ROWS UNBOUNDED PRECEDING) AS INT) AS out_line FROM l), m AS (SELECT page_id, out_line - 1 AS out_line, true AS para_start FROM n WHERE fate = 1 AND mark) SELECT n.page_id, n.out_line, CAST(row_number() OVER (PARTITION BY n.page_id, n.out_line ORDER BY rn, half) AS INT) AS pos, word_id, CASE WHEN half = 2 THEN x1 + cut ELSE x1 END AS x1, CASE WHEN half = 1 AND fate = 2 THEN x1 + cut ELSE x2 END AS x2, CASE WHEN half = 2 OR fate = 1 THEN 0 WHEN rn = 1 THEN indent ELSE gap END AS space, CASE WHEN half = 1 AND fate = 2 THEN hyphen ELSE 0 END AS hyphen_w, coalesce(m.para_start, false) AS para_start FROM n LEFT JOIN m ON m.page_id = n.page_id AND m.out_line = n.out_line", recursive=True)
+
+
+# letters: strokes are joined letter by letter, then marks mark by mark; both folds carry the numbers that are taken
+_LET["mk"] = "SELECT *, median(h) OVER (PARTITION BY word_key) AS m FROM (SELECT * FROM valid UNION ALL SELECT * FROM comp c WHERE w >= 2 AND h >= 2 AND NOT EXISTS (SELECT 1 FROM valid v WHERE v.word_key = c.word_key))"
+_LET["mk2"] = "SELECT word_key, comp_id, x, y, w, h, m, h < m * 0.4 AND w < m * 0.8 AND w * h < m * m * 0.3 AND h < 15 AND w < 100 AS is_mark FROM mk"
+_LET["lt"] = "SELECT *, row_number() OVER (PARTITION BY word_key ORDER BY comp_id) AS rn FROM mk2 WHERE NOT is_mark"
+_LET["lk"] = "SELECT a.word_key, a.comp_id AS a, b.comp_id AS b FROM lt a JOIN lt b ON b.word_key = a.word_key AND b.comp_id <> a.comp_id WHERE greatest(0, a.x - (b.x + b.w), b.x - (a.x + a.w)) < a.m * 0.3 AND least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y) > least(a.h, b.h) * 0.5 AND greatest(a.h, b.h) / greatest(least(a.h, b.h), 1) < 1.5"
+_LET["lg"] = "SELECT l.*, coalesce(k.own, CAST([] AS INT[])) AS own FROM lt l LEFT JOIN (SELECT word_key, a, list(b) AS own FROM lk GROUP BY word_key, a) k ON k.word_key = l.word_key AND k.a = l.comp_id"
+_LET["sf"] = "SELECT DISTINCT word_key, 0::BIGINT AS rn, CAST([] AS INT[]) AS taken, CAST([] AS INT[]) AS grp FROM lg UNION ALL SELECT word_key, rn, list_concat(taken, grp), grp FROM (SELECT l.word_key, l.rn, f.taken, CASE WHEN list_contains(f.taken, l.comp_id) THEN [] ELSE list_prepend(l.comp_id, list_filter(l.own, LAMBDA j: NOT list_contains(f.taken, j))) END AS grp FROM sf f JOIN lg l ON l.word_key = f.word_key AND l.rn = f.rn + 1)"
+_LET["sd"] = "SELECT g.word_key, g.id, min(c.x) AS x, min(c.y) AS y, max(c.x + c.w) - min(c.x) AS w, max(c.y + c.h) - min(c.y) AS h FROM (SELECT word_key, grp[1] AS id, unnest(grp) AS j FROM sf WHERE len(grp) > 0) g JOIN mk2 c ON c.word_key = g.word_key AND c.comp_id = g.j GROUP BY g.word_key, g.id"
+_LET["mt"] = "SELECT k.*, row_number() OVER (PARTITION BY k.word_key ORDER BY k.comp_id) AS rn, coalesce(o.own, CAST([] AS INT[])) AS own FROM mk2 k LEFT JOIN (SELECT a.word_key, a.comp_id, list(s.id) AS own FROM mk2 a JOIN sd s ON s.word_key = a.word_key WHERE a.is_mark AND least(a.x + a.w, s.x + s.w) > greatest(a.x, s.x) AND abs(a.x + a.w / 2 - (s.x + s.w / 2)) < s.w * 0.5 AND s.y - (a.y + a.h) < a.m AND a.y + a.h <= s.y + s.h GROUP BY a.word_key, a.comp_id) o ON o.word_key = k.word_key AND o.comp_id = k.comp_id WHERE k.is_mark"
+_LET["mf"] = "SELECT DISTINCT word_key, 0::BIGINT AS rn, CAST([] AS INT[]) AS used, CAST([] AS INT[]) AS grp FROM mt UNION ALL SELECT word_key, rn, list_concat(used, grp), grp FROM (SELECT t.word_key, t.rn, f.used, CASE WHEN len(list_filter(t.own, LAMBDA j: NOT list_contains(f.used, j))) = 0 THEN [] ELSE list_prepend(t.comp_id, list_filter(t.own, LAMBDA j: NOT list_contains(f.used, j))) END AS grp FROM mf f JOIN mt t ON t.word_key = f.word_key AND t.rn = f.rn + 1)"
+_LET["mu"] = "SELECT word_key, unnest(grp) AS id FROM mf"
+_LET["mm"] = "SELECT g.word_key, g.id, min(b.x) AS x, min(b.y) AS y, max(b.x + b.w) - min(b.x) AS w, max(b.y + b.h) - min(b.y) AS h FROM (SELECT word_key, grp[1] AS id, unnest(grp) AS j, generate_subscripts(grp, 1) = 1 AS own FROM mf WHERE len(grp) > 0) g JOIN (SELECT word_key, comp_id AS id, x, y, w, h, true AS own FROM mk2 UNION ALL SELECT word_key, id, x, y, w, h, false FROM sd) b ON b.word_key = g.word_key AND b.id = g.j AND b.own = g.own GROUP BY g.word_key, g.id"
+_LET["le0"] = "SELECT 1 AS part, * FROM mm UNION ALL SELECT 2, * FROM sd s WHERE NOT EXISTS (SELECT 1 FROM mu WHERE mu.word_key = s.word_key AND mu.id = s.id) UNION ALL SELECT 3, word_key, comp_id, x, y, w, h FROM mk2 c WHERE NOT EXISTS (SELECT 1 FROM mu WHERE mu.word_key = c.word_key AND mu.id = c.comp_id) AND NOT EXISTS (SELECT 1 FROM sd WHERE sd.word_key = c.word_key AND sd.id = c.comp_id)"
+_LET["le1"] = "SELECT l.word_key, CAST(row_number() OVER (PARTITION BY l.word_key ORDER BY part, id) - 1 AS INT) AS letter, x, y, w, h, k.m, count(*) OVER (PARTITION BY l.word_key) AS n, median(w * h) OVER (PARTITION BY l.word_key) AS a FROM le0 l JOIN (SELECT DISTINCT word_key, m FROM mk) k USING (word_key)"
+_LET["le2"] = "SELECT *, w * h >= a * 0.25 OR h >= m * 0.5 AS big, sum((w * h >= a * 0.25 OR h >= m * 0.5)::INT) OVER (PARTITION BY word_key) AS stay FROM le1"
+_LET["le"] = "SELECT word_key, letter, x, y, w, h FROM le2 WHERE n <= 2 OR stay < 2 OR big"
+_NEEDS |= {"mk": ["comp", "valid"], "mk2": ["mk"], "lt": ["mk2"], "lk": ["lt"], "lg": ["lt", "lk"], "sf": ["lg"], "sd": ["sf", "mk2"], "mt": ["mk2", "sd"], "mf": ["mt"], "mu": ["mf"], "mm": ["mf", "mk2", "sd"], "le0": ["mm", "sd", "mu", "mk2"], "le1": ["le0", "mk"], "le2": ["le1"], "le": ["le2"]}
+_sql("g8_letter_boxes", ["le"], "SELECT * FROM le", recursive=True)
+_sql("g10_letter_rects", ["le"], ", p AS (SELECT word_key, letter, greatest(0, x - 2) AS x1, greatest(0, y - 2) AS y1, greatest(0, x - 2) + least(w + 4, 200 - greatest(0, x - 2)) AS x2, greatest(0, y - 2) + least(h + 4, 60 - greatest(0, y - 2)) AS y2 FROM le) SELECT * FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.word_key = a.word_key AND b.letter <> a.letter AND b.x1 <= a.x1 AND b.y1 <= a.y1 AND b.x2 >= a.x2 AND b.y2 >= a.y2 AND (b.letter > a.letter OR b.x1 < a.x1 OR b.y1 < a.y1 OR b.x2 > a.x2 OR b.y2 > a.y2))", recursive=True)
+
+
+def _digest(n: int) -> str:
+    return f"md5('0:{n}:' || page_id || ':' || x1 || ':' || y1 || ':' || attempt)"
+
+
+def _place(n: int, room: str) -> str:
+    return f"CAST('0x' || substr({_digest(n)}, 1, 12) AS BIGINT) % greatest(1, {room})"
+
+
+_sql("i6_sampled_regions", ["lab"], f", b AS (SELECT page_id, x1, y1, x2, y2, x2 - x1 AS w, y2 - y1 AS h, unnest(range(1, 201)) AS attempt FROM lab WHERE label = 'plain text' AND x2 - x1 > 50 AND y2 - y1 > 50), t AS (SELECT *, w < 150 OR h < 150 AS small FROM b), k AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY {_digest(2)}, x1, y1, attempt) AS region FROM t WHERE NOT small OR attempt = 1), p AS (SELECT *, CASE WHEN small THEN x1 ELSE greatest(0, least(x1 + {_place(0, 'w - 149')}, {PAGE_W - 150})) END AS px, CASE WHEN small THEN y1 ELSE greatest(0, least(y1 + {_place(1, 'h - 149')}, {PAGE_H - 150})) END AS py FROM k WHERE region <= 20) SELECT page_id, CAST(region AS INT) AS region, CAST(px AS INT) AS x1, CAST(py AS INT) AS y1, CAST(CASE WHEN small THEN x2 ELSE px + 150 END AS INT) AS x2, CAST(CASE WHEN small THEN y2 ELSE py + 150 END AS INT) AS y2 FROM p")

@@ -93,13 +93,15 @@ def test_packed_lines_fit_unless_one_word():
         assert {r[2] for r in rows} == {w["word_id"] for w in source}
 
 
-def test_letters_join_marks_and_strokes():
+def test_letters_join_marks_and_strokes(spark):
     page = [
         {"comp_id": 1, "x": 10, "y": 20, "w": 10, "h": 30, "median_h": 30.0, "is_mark": False},
         {"comp_id": 2, "x": 12, "y": 5, "w": 5, "h": 5, "median_h": 30.0, "is_mark": True},
         {"comp_id": 3, "x": 60, "y": 20, "w": 10, "h": 30, "median_h": 30.0, "is_mark": False},
     ]
-    assert sorted(letters.joined_letters(page)) == [(10, 5, 10, 45), (60, 20, 10, 30)]
+    rows = letters.joined_letters(spark.createDataFrame([{"word_key": 7, **r} for r in page])).collect()
+    assert sorted(tuple(r)[2:] for r in rows) == [(10, 5, 10, 45), (60, 20, 10, 30)]
+    assert sorted(tuple(r)[:2] for r in rows) == [(7, 0), (7, 1)]
 
 
 def test_robust_angle_edges(spark):

@@ -169,7 +169,7 @@ _LET["pt"] = "SELECT * FROM lab WHERE label = 'plain text'"
 _LET["near"] = f"SELECT a.page_id, a.det_id AS a, b.det_id AS b FROM pt a JOIN pt b ON a.page_id = b.page_id WHERE {_meets('a.', 'b.')} AND {_inter('a.', 'b.')}::DOUBLE / least({_area('a.')}, {_area('b.')}) >= 0.1"
 _LET["conn"] = "SELECT page_id, det_id AS a, det_id AS b FROM pt UNION SELECT c.page_id, c.a, n.b FROM conn c JOIN near n ON n.page_id = c.page_id AND n.a = c.b"
 _LET["text"] = "SELECT page_id, seq, CAST(count(*) AS INT) AS members, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM (SELECT page_id, a AS det_id, min(b) AS seq FROM conn GROUP BY page_id, a) JOIN pt USING (page_id, det_id) GROUP BY page_id, seq"
-_LET["band0"] = f"SELECT t.page_id, t.seq, greatest(t.y1, r.y1) AS top, least(t.y2, r.y2) AS bottom FROM text t JOIN lab r ON r.page_id = t.page_id AND r.label <> 'plain text' WHERE {_meets('t.', 'r.')} AND least(t.y2, r.y2) - greatest(t.y1, r.y1) >= 10"
+_LET["band0"] = f"SELECT DISTINCT t.page_id, t.seq, greatest(t.y1, r.y1) AS top, least(t.y2, r.y2) AS bottom FROM text t JOIN lab r ON r.page_id = t.page_id AND r.label <> 'plain text' WHERE {_meets('t.', 'r.')} AND least(t.y2, r.y2) - greatest(t.y1, r.y1) >= 10"
 _LET["band1"] = "SELECT *, max(bottom) OVER (PARTITION BY page_id, seq ORDER BY top, bottom ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS so_far FROM band0"
 _LET["band2"] = "SELECT *, CAST(sum(CASE WHEN so_far IS NULL OR top > so_far THEN 1 ELSE 0 END) OVER (PARTITION BY page_id, seq ORDER BY top, bottom ROWS UNBOUNDED PRECEDING) AS INT) AS band FROM band1"
 _LET["bands"] = "SELECT page_id, seq, band, min(top) AS top, max(bottom) AS bottom FROM band2 GROUP BY page_id, seq, band"
@@ -393,3 +393,62 @@ def _place(n: int, room: str) -> str:
 
 
 _sql("i6_sampled_regions", ["lab"], f", b AS (SELECT page_id, x1, y1, x2, y2, x2 - x1 AS w, y2 - y1 AS h, unnest(range(1, 201)) AS attempt FROM lab WHERE label = 'plain text' AND x2 - x1 > 50 AND y2 - y1 > 50), t AS (SELECT *, w < 150 OR h < 150 AS small FROM b), k AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY {_digest(2)}, x1, y1, attempt) AS region FROM t WHERE NOT small OR attempt = 1), p AS (SELECT *, CASE WHEN small THEN x1 ELSE greatest(0, least(x1 + {_place(0, 'w - 149')}, {PAGE_W - 150})) END AS px, CASE WHEN small THEN y1 ELSE greatest(0, least(y1 + {_place(1, 'h - 149')}, {PAGE_H - 150})) END AS py FROM k WHERE region <= 20) SELECT page_id, CAST(region AS INT) AS region, CAST(px AS INT) AS x1, CAST(py AS INT) AS y1, CAST(CASE WHEN small THEN x2 ELSE px + 150 END AS INT) AS x2, CAST(CASE WHEN small THEN y2 ELSE py + 150 END AS INT) AS y2 FROM p")
+
+
+# all of a page's blocks: the steps' CTEs over the kept and grown detections, then titles and covered texts over what they made
+_DET = "SELECT l.page_id, l.det_id, l.class_id, l.conf, l.label, CASE WHEN plain THEN greatest(0, x1 - 5) ELSE x1 END AS x1, CASE WHEN plain THEN greatest(0, y1 - 5) ELSE y1 END AS y1, CASE WHEN plain THEN least({w}, x2 + 5) ELSE x2 END AS x2, CASE WHEN plain THEN least({h}, y2 + 5) ELSE y2 END AS y2 FROM (SELECT *, label = 'plain text' AS plain FROM lab0) l JOIN nmsk k ON k.page_id = l.page_id AND k.det_id = l.det_id"
+_ALONE = "SELECT page_id, {step} AS step, det_id AS seq, label, conf, x1, y1, x2, y2 FROM lab l WHERE label = '{label}' AND NOT EXISTS (SELECT 1 FROM {pairs} p WHERE p.page_id = l.page_id AND p.{column} = l.det_id)"
+_PAIRED = "SELECT p.page_id, {step} AS step, p.caption_id AS seq, '{label}' AS label, greatest(a.conf, b.conf) AS conf, least(a.x1, b.x1) AS x1, least(a.y1, b.y1) AS y1, greatest(a.x2, b.x2) AS x2, greatest(a.y2, b.y2) AS y2 FROM {pairs} p JOIN lab a ON a.page_id = p.page_id AND a.det_id = p.caption_id JOIN lab b ON b.page_id = p.page_id AND b.det_id = p.target_id"
+
+
+def _blocks_oracle() -> str:
+    steps = []
+    for step, label, caption, pairs in ((1, "figure", "figure_caption", "pairsf"), (4, "isolate_formula", "formula_caption", "pairsi")):
+        steps.append(_PAIRED.format(step=step, label=f"{label}_and_caption", pairs=pairs))
+        steps.append(_ALONE.format(step=step + 1, label=label, pairs=pairs, column="target_id"))
+        steps.append(_ALONE.format(step=step + 2, label=caption, pairs=pairs, column="caption_id"))
+    groups = "SELECT page_id, det_id AS table_id, det_id FROM lab WHERE label = 'table' UNION ALL SELECT page_id, target_id, caption_id FROM pairst UNION ALL SELECT page_id, table_id, footnote_id FROM notes"
+    steps.append(f"SELECT m.page_id, 7 AS step, m.table_id AS seq, CASE WHEN count(*) > 1 THEN 'table_and_caption' ELSE 'table' END AS label, max(conf) AS conf, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM ({groups}) m JOIN lab l ON l.page_id = m.page_id AND l.det_id = m.det_id GROUP BY m.page_id, m.table_id")
+    steps.append(_ALONE.format(step=8, label="table_caption", pairs="pairst", column="caption_id"))
+    steps.append(_ALONE.format(step=9, label="table_footnote", pairs="notes", column="footnote_id"))
+    own = dict(_LET)
+    needs = dict(_NEEDS)
+    own["lab0"], needs["lab0"] = own["lab"], ["det"]
+    own["lab"], needs["lab"] = _DET.format(w=PAGE_W, h=PAGE_H), ["lab0", "nmsk"]
+    own["made"], needs["made"] = " UNION ALL ".join(steps), ["pairsf", "pairsi", "pairst", "notes"]
+    own["regs"], needs["regs"] = "SELECT page_id, x1, y1, x2, y2 FROM made UNION ALL SELECT page_id, x1, y1, x2, y2 FROM lab WHERE label <> 'plain text'", ["made"]
+    own["band0"], needs["band0"] = own["band0"].replace("JOIN lab r ON r.page_id = t.page_id AND r.label <> 'plain text'", "JOIN regs r ON r.page_id = t.page_id"), ["text", "regs"]
+    own["cut0"], needs["cut0"] = "SELECT t.*, coalesce(max(b.band), 0) AS bands FROM text t LEFT JOIN bands b USING (page_id, seq) GROUP BY ALL", ["bands"]
+    own["cut1"], needs["cut1"] = "SELECT *, unnest(range(bands + 1))::INT AS sub FROM cut0", ["cut0"]
+    own["cut2"], needs["cut2"] = "SELECT s.page_id, s.seq, s.sub, s.bands, s.x1, coalesce(a.bottom, s.y1) AS y1, s.x2, coalesce(b.top, s.y2) AS y2 FROM cut1 s LEFT JOIN bands a ON a.page_id = s.page_id AND a.seq = s.seq AND a.band = s.sub LEFT JOIN bands b ON b.page_id = s.page_id AND b.seq = s.seq AND b.band = s.sub + 1", ["cut1"]
+    own["rest"], needs["rest"] = f"SELECT page_id, 11 AS step, min(det_id) OVER (PARTITION BY page_id, label) * 100000::BIGINT + det_id AS seq, 0 AS sub, label, conf, x1, y1, x2, y2 FROM lab WHERE label NOT IN {_list(_HANDLED)}", ["lab"]
+    own["blk0"], needs["blk0"] = "SELECT page_id, step, seq, 0 AS sub, label, conf, x1, y1, x2, y2 FROM made UNION ALL SELECT page_id, 10, seq, sub, 'plain text', 1.0::DOUBLE, x1, y1, x2, y2 FROM cut2 WHERE bands = 0 OR y2 - y1 >= 20 UNION ALL SELECT * FROM rest", ["made", "cut2", "rest"]
+    own["blk"], needs["blk"] = "SELECT *, CAST(row_number() OVER (PARTITION BY page_id ORDER BY step, seq, sub) AS INT) AS det_id FROM blk0", ["blk0"]
+    # titles and their bodies, over the numbered blocks
+    own["ti"], needs["ti"] = own["ti"].replace("FROM lab", "FROM blk"), ["blk"]
+    own["tp"] = own["tp"].replace("JOIN lab p", "JOIN blk p")
+    own["tl"], needs["tl"] = "SELECT page_id, arg_max(taken, rn) AS taken FROM tfold GROUP BY page_id", ["tfold"]
+    own["tb"], needs["tb"] = "SELECT t.page_id, t.det_id AS title_id, taken[t.rn] AS body_id FROM ti t JOIN tl USING (page_id) WHERE taken[t.rn] <> 0", ["tl"]
+    own["fin0"], needs["fin0"] = (
+        "SELECT page_id, det_id AS id, 0 AS sub, label, conf, x1, y1, x2, y2 FROM blk b WHERE NOT EXISTS (SELECT 1 FROM tb WHERE tb.page_id = b.page_id AND b.det_id IN (tb.title_id, tb.body_id))"
+        " UNION ALL SELECT b.page_id, b.det_id, 0, 'titled_block_title', b.conf, b.x1, b.y1, b.x2, b.y2 FROM tb JOIN blk b ON b.page_id = tb.page_id AND b.det_id = tb.title_id"
+        " UNION ALL SELECT b.page_id, t.det_id, 1, 'titled_block_body', t.conf, b.x1, b.y1, b.x2, b.y2 FROM tb JOIN blk t ON t.page_id = tb.page_id AND t.det_id = tb.title_id JOIN blk b ON b.page_id = tb.page_id AND b.det_id = tb.body_id",
+        ["blk", "tb"],
+    )
+    own["fin"], needs["fin"] = "SELECT * FROM fin0 a WHERE label <> 'plain text' OR NOT EXISTS (SELECT 1 FROM fin0 b WHERE b.page_id = a.page_id AND b.label = 'plain text' AND b.id <> a.id AND a.y1 >= b.y1 - 2 AND a.y2 <= b.y2 + 2 AND least(a.x2, b.x2) - greatest(a.x1, b.x1) > 0.7 * (a.x2 - a.x1))", ["fin0"]
+    seen: list[str] = []
+
+    def add(name: str) -> None:
+        for n in needs.get(name, []):
+            add(n)
+        if name not in seen:
+            seen.append(name)
+
+    add("fin")
+    kept = ("det", "lab", "made", "text", "bands", "blk", "fin0")
+    head = "WITH RECURSIVE " + ",\n".join(f"{n} AS {'MATERIALIZED ' if n in kept else ''}({own[n]})" for n in seen)
+    names = "(VALUES " + ", ".join(f"('{k}', {v})" for k, v in CLASS_ID.items()) + ") c(name, id)"
+    return f"{head}\nSELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY f.id, sub) AS INT) AS block_id, label, CAST(coalesce(c.id, 0) AS INT) AS class_id, round(conf, 6) AS conf, x1, y1, x2, y2 FROM fin f LEFT JOIN {names} ON c.name = f.label"
+
+
+ORACLES["e14_blocks"] = _blocks_oracle()

@@ -57,9 +57,9 @@ STAR_ROUNDS = 3
 #: Components that crowd a token, and tokens of a set that are listed to tell where two sets meet first.
 CROWD = 32
 MOST_LISTED = 256
-#: Sets, or components, of a crowded token that meet in one cell of its grid; blocks of a hub that meet likewise.
+#: Sets, or components, of a crowded token that meet in one cell of its grid; tokens of either side of a hub that meet likewise.
 CELL = 512
-CELL_BLOCKS = 16
+CELL_TOKENS = 500_000
 #: Bits of the filter over the sets that have candidates: at most 4 MB, sent to executors.
 MAX_FILTER_BITS = 1 << 25
 
@@ -194,7 +194,7 @@ def _entries(docs: DataFrame, k: int, percent: int, orders, n_tokens: int, scrat
     Rows travel packed, cut by the token's leading bits as for counting, and each cut
     keeps the tokens of several sets; those of FREQUENT sets or more are marked. A
     token that the order knows as frequent is taken as shared by many; its rows are
-    cut by the set instead, so that no task gathers them.
+    cut by token and set instead, so that no task gathers those of a token or a set.
     """
     bits = max(6, int(np.ceil(np.log2(max(1, n_tokens * (100 - percent) / 100 / COUNT_TOKENS)))))
     shift = np.uint64(64 - bits - 32)
@@ -216,7 +216,7 @@ def _entries(docs: DataFrame, k: int, percent: int, orders, n_tokens: int, scrat
             if not out[0]:
                 continue
             token, sid, n, often = (np.concatenate(x) for x in out)
-            part = np.where(often, sid.view(np.uint64) >> np.uint64(64 - bits), token >> np.uint64(32)).astype(np.int32)
+            part = np.where(often, mix(token ^ sid.view(np.uint64)) >> np.uint64(64 - bits), token >> np.uint64(32)).astype(np.int32)
             order = np.argsort(part, kind="stable")
             part, token, sid, n, often = part[order], token[order], sid[order], n[order], often[order]
             first = np.flatnonzero(np.diff(part, prepend=-1))
@@ -320,12 +320,24 @@ class _Block:
 
 def compare(members: list[dict], spokes: list[dict], percent: int) -> tuple[list[int], list[int]]:
     """Ids of linked pairs; those without common prefix tokens in either further order aren't verified."""
-    block = _Block(members)
     out: tuple[list[int], list[int]] = ([], [])
+    start, size = 0, 0
+    for end, m in enumerate(members, 1):
+        size += len(m["tokens"]) // 8
+        if size >= BLOCK_TOKENS or end == len(members):
+            _compare_block(_Block(members[start:end]), spokes, percent, out)
+            start, size = end, 0
+    return out
+
+
+def _compare_block(block: _Block, spokes: list[dict], percent: int, out: tuple[list[int], list[int]]) -> None:
+    own = np.array(block.sids)
     for spoke in spokes:
+        n = len(spoke["tokens"]) // 8
+        likely = (100 * np.minimum(block.sizes, n) >= percent * np.maximum(block.sizes, n)) & (own != spoke["sid"])
+        if not likely.any():
+            continue
         sets = {c: np.frombuffer(spoke[c], dtype=np.uint64) for c in ("tokens", "second", "third")}
-        n = len(sets["tokens"])
-        likely = (100 * np.minimum(block.sizes, n) >= percent * np.maximum(block.sizes, n)) & (np.array(block.sids) != spoke["sid"])
         for c in ("second", "third"):
             if likely.any():
                 likely &= block.overlaps(c, sets[c]) > 0
@@ -334,26 +346,31 @@ def compare(members: list[dict], spokes: list[dict], percent: int) -> tuple[list
             for i in np.flatnonzero(likely & (100 * both >= percent * (block.sizes + n - both))).tolist():
                 out[0].append(block.sids[i])
                 out[1].append(spoke["sid"])
-    return out
 
 
 def _links(members: DataFrame, spokes: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(a, b): links between members and spokes (hub, sid, n) of the same hub, compared block by block.
+    """(a, b): links between members and spokes (hub, sid, n) of the same hub.
 
-    Each side is cut into blocks of BLOCK_TOKENS tokens; CELL_BLOCKS blocks of one
-    side meet as many of the other in a cell, and cells are spread over tasks.
+    A hub's members and spokes meet in cells: where either are more than CELL_TOKENS
+    tokens, they are dealt over as many cells, and each cell of one side meets each of
+    the other on its own.
     """
-    every = members.select("hub", F.col("n").alias("m_n"), F.lit(0).alias("s_n")).unionByName(spokes.select("hub", F.lit(0).alias("m_n"), F.col("n").alias("s_n")))
-    parts = lambda c: F.greatest(F.lit(1), F.ceil(F.sum(c) / BLOCK_TOKENS)).cast("int")
-    hubs = scratch.save(every.groupBy("hub").agg(parts("m_n").alias("members"), parts("s_n").alias("spokes"), F.count("*").alias("rows")), "hubs")
-    total = hubs.agg(F.sum("rows")).first()[0] or 0
-
-    def blocked(df: DataFrame, name: str, other: str) -> DataFrame:
-        own = lookup(df, hubs, "hub", "rows", F.col("sid"), total).withColumn("block", F.pmod(F.xxhash64("sid"), F.col(name)).cast("int"))
-        own = own.select("hub", "sid", "block", F.ceil(F.col(other) / CELL_BLOCKS).cast("int").alias("cells")).join(sets, "sid")
-        lists = own.groupBy("hub", "block", "cells").agg(F.collect_list(F.struct("sid", "tokens", "second", "third")).alias("sets"))
-        cell = F.floor(F.col("block") / CELL_BLOCKS).cast("int")
-        return lists.select("hub", cell.alias(f"{name}_cell"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias(f"{other}_cell"), F.col("sets").alias(name))
+    every = members.select("hub", "sid", "n", F.lit(True).alias("member")).unionByName(spokes.select("hub", "sid", "n", F.lit(False).alias("member")))
+    cells = lambda own: F.greatest(F.lit(1), F.ceil(F.sum(F.when(own, F.col("n")).otherwise(0)) / CELL_TOKENS)).cast("int")
+    hubs = every.groupBy("hub").agg(cells(F.col("member")).alias("m_cells"), cells(~F.col("member")).alias("s_cells"), F.count("*").alias("rows"))
+    sums = hubs.agg(F.sum("rows").alias("rows"), F.max(F.greatest("m_cells", "s_cells")).alias("cells")).first()
+    if (sums.cells or 1) > 1:
+        every = lookup(every, scratch.save(hubs, "hubs"), "hub", "rows", F.col("sid"), sums.rows)
+        own = lambda c: F.pmod(F.xxhash64("sid"), F.col(c)).cast("int")
+        one = lambda x: F.array(x)
+        all_ = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+        every = every.withColumn("m_cell", F.explode(F.when(F.col("member"), one(own("m_cells"))).otherwise(all_("m_cells"))))
+        every = every.withColumn("s_cell", F.explode(F.when(F.col("member"), all_("s_cells")).otherwise(one(own("s_cells")))))
+    else:
+        every = every.withColumns({"m_cell": F.lit(0), "s_cell": F.lit(0)})
+    fields = F.struct("sid", "tokens", "second", "third")
+    side = lambda own: F.collect_list(F.when(own, fields))
+    met = every.select("hub", "sid", "member", "m_cell", "s_cell").join(sets, "sid").groupBy("hub", "m_cell", "s_cell").agg(side(F.col("member")).alias("members"), side(~F.col("member")).alias("spokes"))
 
     def run(batches):
         for batch in batches:
@@ -364,8 +381,7 @@ def _links(members: DataFrame, spokes: DataFrame, sets: DataFrame, percent: int,
                 found[1].extend(b)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
 
-    both = blocked(members, "members", "spokes").join(blocked(spokes, "spokes", "members"), ["hub", "members_cell", "spokes_cell"]).select("members", "spokes")
-    return both.mapInArrow(released(run), "a long, b long")
+    return met.select("members", "spokes").mapInArrow(released(run), "a long, b long")
 
 
 def _fits(n: str, least: str, most: str, percent: int) -> Column:
@@ -463,17 +479,20 @@ def _join(docs: DataFrame, k: int, percent: int, n_tokens: int, scratch: Scratch
     if live.isEmpty():
         return None
     sets = _live_sets(docs, live, k, percent, orders, scratch)
-    links, roots = None, None
+    roots = None
 
     n_often, n_dense = often.count(), dense.count()
 
     def compared(spokes: DataFrame, hubs: DataFrame, name: str) -> bool:
-        """Add the links found to `links`, and the components they make to `roots`."""
-        nonlocal links, roots
+        """Find links, and add the components that they make to `roots`."""
+        nonlocal roots
+        if spokes.isEmpty():
+            return False
         new = scratch.save(_links(hubs, spokes, sets, percent, scratch), f"links-{name}")
         if new.isEmpty():
             return False
-        links = new if links is None else links.union(new)
+        # what hung together before goes as links to the root
+        links = new if roots is None else new.union(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
         roots = scratch.save(connected_components(links, scratch, f"parts-{name}"), f"roots-{name}")
         return True
 
@@ -489,7 +508,7 @@ def _join(docs: DataFrame, k: int, percent: int, n_tokens: int, scratch: Scratch
         """Entries (token, sid, n) with their set's partial component, its size, and `shared`."""
         of = scratch.save(members().drop("n"), f"of-{name}")
         sizes = of.groupBy("comp").agg(F.count("*").alias("size"), F.count("*").alias("rows"))
-        rows = often.join(lookup(of, sizes, "comp", "rows", F.col("sid"), n_dense), "sid")
+        rows = often.join(lookup(of, sizes, "comp", "rows", F.col("sid"), n_dense, n_dense), "sid")
         return scratch.save(rows.select("token", "sid", "n", "shared", "comp", "size"), f"placed-{name}")
 
     def split(rows: DataFrame, name: str, *more: Column) -> DataFrame:
@@ -550,7 +569,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         rooted = least.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
         rooted = scratch.save(rooted.withColumnRenamed("component_id", "least"), "rooted")
         tops = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
-        least = lookup(rooted, tops, "root", "members", F.col("sid"), sums.rows).select("sid", "component_id", "rows")
+        least = lookup(rooted, tops, "root", "members", F.col("sid"), sums.rows, rooted.count()).select("sid", "component_id", "rows")
     least = scratch.save(least, "least")
     filled, empty = base.where("n > 0"), base.where("n = 0")
     # copies go by their key as well, as a set may be that of very many rows

@@ -201,7 +201,8 @@ def _suffixes(featured: DataFrame) -> DataFrame:
     sums = lambda c: F.array(*(F.sum(F.get(c, i)) for i in range(FOLDS)))
     one = two.groupBy("_suffix_1").agg(F.count("*").alias("suffixes"), sums("seen_2").alias("seen_1"), sums("blocked_2").alias("blocked_1"))
     # there are no more suffixes than URLs
-    return lookup(two, one, "_suffix_1", "suffixes", F.col("_suffix_2"), featured.count()).drop("_suffix_1")
+    n = featured.count()
+    return lookup(two, one, "_suffix_1", "suffixes", F.col("_suffix_2"), n, n).drop("_suffix_1")
 
 
 def _rates(df: DataFrame, seen: list[int], blocked: list[int], out_of_fold: bool) -> DataFrame:

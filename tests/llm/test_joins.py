@@ -76,10 +76,12 @@ def test_components_equal_brute_force(spark, monkeypatch, seed):
 @pytest.mark.parametrize("rounds,most_hot", [(0, 3), (1, 3), (2, 10**6)])
 def test_a_passage_in_every_text(spark, monkeypatch, rounds, most_hot):
     # every token of the passage is hot; with small cells each way to spread it is taken
-    for name, value in (("FREQUENT", 3), ("CROWD", 2), ("BLOCK_TOKENS", 100), ("STAR_ROUNDS", rounds), ("CELL", 2), ("CELL_BLOCKS", 1), ("MAX_FREQUENT", 20)):
+    for name, value in (("FREQUENT", 3), ("CROWD", 2), ("BLOCK_TOKENS", 100), ("STAR_ROUNDS", rounds), ("CELL", 2), ("CELL_TOKENS", 100), ("MAX_FREQUENT", 20)):
         monkeypatch.setattr(jaccard_join, name, value)
     monkeypatch.setattr(lookup, "HOT_ROWS", 2)
     monkeypatch.setattr(lookup, "MOST_HOT", most_hot)
+    if rounds == 1:
+        monkeypatch.setattr(components.connected_components, "__defaults__", (0,))
     rng = random.Random(rounds)
     passage = " ".join(f"p{i}" for i in range(40))
     other = [f"w{i}" for i in range(30)]
@@ -97,9 +99,10 @@ def test_sizes_bound_the_cells(spark):
     assert pairs.where(~own.between(lo, hi)).count() == 0
 
 
-@pytest.mark.parametrize("total", [0, 10, 10**9])
-def test_lookup_is_a_join(spark, monkeypatch, total):
+@pytest.mark.parametrize("total,most", [(0, 3), (10, 3), (10**9, 3), (10**9, 10**6)])
+def test_lookup_is_a_join(spark, monkeypatch, total, most):
     monkeypatch.setattr(lookup, "HOT_ROWS", 5)
+    monkeypatch.setattr(lookup, "MOST_HOT", most)
     rows = spark.createDataFrame([(k, i, "old") for i, k in enumerate([1] * 20 + [2] * 3 + [3, None, 9])], "k long, i int, v string")
     table = spark.createDataFrame([(1, 20, "a"), (2, 3, None), (3, 1, "c"), (4, 0, "d")], "k long, w int, v string")
     found = lookup.lookup(rows, table, "k", "w", F.col("i"), total)
@@ -135,9 +138,10 @@ def test_least_shared_is_a_bound(spark):
             assert len(set(x[:p]) & set(y[:q])) >= bound[n, m]
 
 
-def test_connected_components_of_a_long_chain_and_a_star(spark):
+@pytest.mark.parametrize("short", [0, 10**6])
+def test_connected_components_of_a_long_chain_and_a_star(spark, short):
     links = [(i, i + 1) for i in range(0, 60)] + [(200 + i, 199) for i in range(1, 30)] + [(300, 300)]
-    found = components.connected_components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "test"), "c")
+    found = components.connected_components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "test"), "c", short)
     want = {i: 0 for i in range(61)} | {200 + i: 199 for i in range(1, 30)} | {199: 199}
     assert {r.node: r.root for r in found.collect()} == want
 

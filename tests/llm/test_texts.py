@@ -220,6 +220,7 @@ def brute_rates(rows, key=None):
 @pytest.mark.parametrize("hot", [1, 10**6])
 def test_suffix_rates_and_verdicts_equal_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(lookup, "HOT_ROWS", hot)
+    monkeypatch.setattr(lookup, "MOST_HOT", 1)
     rng = random.Random(4)
     urls = [f"http://{rng.choice(['a.', 'b.c.', ''])}{rng.choice(['example', 'site', 'x'])}.{rng.choice(['com', 'net', 'org', 'io'])}/{rng.choice(['en', 'de', 'es', 'q'])}/{rng.randrange(99)}?i={rng.randrange(9)}" for _ in range(400)]
     pages = spark.createDataFrame(list(enumerate(urls + URLS)), "page_id long, url string")

@@ -101,7 +101,8 @@ class Orders:
     def prefix(self, tokens: np.ndarray, order: int, percent: int, frequency: np.ndarray | None = None) -> np.ndarray:
         """Indices into `tokens` of the prefix, in the order's sequence."""
         size = prefix_length(len(tokens), percent)
-        tie = tokens if order == 0 else mix(tokens ^ _SALTS[order])
+        # never by the tokens' own bits: those say where a prefix token is sent
+        tie = mix(tokens ^ _SALTS[order])
         first = np.zeros(len(tokens), dtype=np.int64) if order == 2 else (self.frequency(tokens) if frequency is None else frequency)
         return np.lexsort((tie, first))[:size]
 

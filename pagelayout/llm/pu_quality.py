@@ -147,18 +147,19 @@ def _separate(p: np.ndarray, u: np.ndarray) -> np.ndarray:
     return _descend(gradient, p.shape[1])
 
 
-def _nn_risk(p: np.ndarray, u: np.ndarray, prior: float) -> np.ndarray:
-    """Weights of least non-negative risk under the logistic loss."""
+def nn_gradient(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> np.ndarray:
+    """Where to step from weights `w`, for the non-negative risk under the logistic loss."""
+    zp, zu = p @ w, u @ w
+    up = -(1 - _sigmoid(zp)) @ p / len(p)
+    down_p, down_u = _sigmoid(zp) @ p / len(p), _sigmoid(zu) @ u / len(u)
+    negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    # where the negatives' risk falls below zero it has overfitted: that part alone is taken back
+    return prior * up + down_u - prior * down_p if negative >= 0 else prior * down_p - down_u
 
-    def gradient(w):
-        zp, zu = p @ w, u @ w
-        up = -(1 - _sigmoid(zp)) @ p / len(p)
-        down_p, down_u = _sigmoid(zp) @ p / len(p), _sigmoid(zu) @ u / len(u)
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        # where the negatives' risk falls below zero it has overfitted: that part alone is taken back
-        return prior * up + down_u - prior * down_p if negative >= 0 else prior * down_p - down_u
 
-    return _descend(gradient, p.shape[1])
+def _nn_risk(p: np.ndarray, u: np.ndarray, prior: float) -> np.ndarray:
+    """Weights of least non-negative risk."""
+    return _descend(lambda w: nn_gradient(w, p, u, prior), p.shape[1])
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
@@ -209,7 +210,13 @@ def train(docs: DataFrame, positives: DataFrame, learn: Column, key: str = "doc_
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "quality") -> DataFrame:
-    """`docs` with a struct `name`: score, 0 to 1. Null and empty texts are scored as texts without words."""
+    """`docs` with a struct `name`: score, 0 to 1.
+
+    Null and empty texts are scored as texts without words: all features 0. Texts are
+    read whole, some of them at a time. Rows are judged one by one: repeated ones
+    alike, and an empty table gives no rows; columns of `docs` stay and `name` gives
+    way to one of the same name.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as p
+from pagelayout.llm import lookup
 from tests.llm.test_joins import brute, brute_hits
 from tests.llm.test_texts import brute_spans
 
@@ -40,6 +41,26 @@ def test_stages_equal_brute_force(spark):
     assert {r.doc_id for r in last} == want - dirty and all(r.round_trip and r.n_tokens == len(r.ids) for r in last)
 
 
+@pytest.mark.parametrize("small", [0, 10**6])
+def test_every_way_to_drop_copies(spark, monkeypatch, small):
+    monkeypatch.setattr(p, "SMALL_IDS", small)
+    monkeypatch.setattr(lookup, "MOST_HOT", 1)
+    monkeypatch.setattr(lookup, "HOT_ROWS", 2)
+    rows = [(1, "a b c d e f"), (2, "A b c d e f"), (2, "A b c d e f"), (3, "x y"), (3, "x y"), (3, "z"), (3, "z"), (4, None), (5, ""), (None, "x y"), (6, "z"), (7, "q r s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"rows": F.lit(1), "stays": F.lit("s")})
+    kept = p.drop_near_duplicates(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id or 0), r.text or "") for r in kept.collect()) == [(1, "a b c d e f"), (3, "x y"), (3, "z"), (4, ""), (5, ""), (7, "q r s")]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in p.STAGES[:-1]])
+def test_long_texts_and_clashing_names(spark, name):
+    text = " ".join(f"w{i % 5000} the cat" for i in range(120_000))
+    docs = spark.createDataFrame([(1, text, "en", "s", len(text), "t", 1), (2, "the dog and the cat", "en", "s", 19, "t", 2)], KINDS).withColumns({c: F.lit(None).cast("string") for c in ("_text", "language", "secrets", "contamination", "key", "sid", "_lookup_key", "blob", "n")})
+    out = dict(p.STAGES)[name](spark, docs, SF)
+    assert out.columns == docs.columns and {r.doc_id: r.text for r in out.collect()} == {1: text, 2: "the dog and the cat"}
+
+
 def test_run_is_the_stages(spark):
     out = p.run(spark, SF)
     assert out.where("NOT round_trip").count() == 0 and 0 < out.count() < spark.read.parquet(f"{SF}/documents.parquet").count()

@@ -6,7 +6,7 @@ from pagelayout.plans.oracles import ORACLES
 from pagelayout.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ["c4_decode", "c10_nms", "e3_figure_captions", "e10_text_slices", "f4_text_lines", "g22_baselines", "h10_work_units", "i4_peaks", "j7_classified", "a10_answered_words"]
+SAMPLE = ["c4_decode", "c10_nms", "e3_figure_captions", "e10_text_slices", "f4_text_lines", "g22_baselines", "h10_work_units", "i4_peaks", "j7_classified", "a10_answered_words", "e14_blocks", "g8_letter_boxes", "g10_letter_rects", "g18_pack_lines", "i6_sampled_regions", "h5_padded_words", "a8_stream_tickets"]
 
 
 @pytest.fixture(scope="module")

@@ -176,10 +176,10 @@ def scan_versions(versions: DataFrame, ledger: str | None = None, text: str = "t
     scratch.drop("todo")
     entries = spark.read.schema(schema).parquet(ledger).where(F.col("rule_version") == version)
     # blobs without findings need no partner: most paths then meet nothing
-    found = entries.where(F.size("spans") > 0).groupBy(F.col("blob").alias("_blob")).agg(F.first("spans").alias("_spans"))
+    found = entries.where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
     if there:
-        found = found.join(blobs.select(F.col("blob").alias("_blob")), "_blob", "left_semi")
-    found = scratch.save(found, "found")
+        found = found.groupBy("_blob").agg(F.first("_spans").alias("_spans")).join(blobs.select(F.col("blob").alias("_blob")), "_blob", "left_semi")
+        found = scratch.save(found, "found")
     out, own = free_name(versions, name), free_name(versions, "_content")
     keyed = versions.withColumn(own, F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256))
     size = found.agg(F.sum(F.size("_spans") + 1)).first()[0] or 0

@@ -8,6 +8,8 @@ range, so no task sees more than a range and nothing is sorted in one place.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -111,19 +113,28 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 8, key: str = "doc_id", text
     for r in sorted(totals.collect()):
         sums.append((r["_range"], base, first_row))
         base, first_row, many = base + r["_bytes"], first_row + r["_rows"], many + r["_many"]
-    totals = spark.createDataFrame(sums, "_range int, _base long, _first long")
     inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     within = lambda c: F.coalesce(F.sum(c).over(inside), F.lit(0))
-    placed = entries.withColumns({"_within": within(weight), "_nth": within(F.col("_copies"))}).join(F.broadcast(totals), "_range")
-    placed = scratch.save(placed.select(*order, "_copies", (F.col("_base") + F.col("_within")).alias("_start"), (F.col("_first") + F.col("_nth")).alias("_row")), "placed")
-    scratch.drop("ranges")
-
-    rows = _laid_out(placed, many, range_rows, copies)
-    rows = rows.withColumn("_middle", (F.col("_start") + F.col("_copy") * F.col("size")) * 2 + F.col("size"))
-    # whole-number division, as a rounded quotient could cross a cut
-    shard = F.least(F.expr(f"cast(_middle AS decimal(38,0)) * {n_shards} div cast({max(1, 2 * base)} AS decimal(38,0))").cast("int"), F.lit(n_shards - 1))
-    rows = rows.select(*order, shard.alias("shard"), (F.col("_row") + F.col("_copy")).alias("_row"))
-    # a shard's rows follow each other, so slots count from its first; one row a shard
-    starts = rows.groupBy("shard").agg(F.min("_row").alias("_first"))
-    out = rows.join(F.broadcast(starts), "shard")
-    return out.select(F.col("_key").alias(key), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("_row") - F.col("_first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    before = F.broadcast(spark.createDataFrame(sums, "_range int, _base long, _first long"))
+
+    def rows_of(some: DataFrame) -> DataFrame:
+        """The rows of entries, with their shard and their number in the whole order."""
+        placed = some.withColumns({"_within": within(weight), "_nth": within(F.col("_copies"))}).join(before, "_range")
+        placed = placed.select(*order, "_copies", "_range", (F.col("_base") + F.col("_within")).alias("_start"), (F.col("_first") + F.col("_nth")).alias("_row"))
+        rows = _laid_out(placed, many, range_rows, copies)
+        rows = rows.withColumn("_middle", (F.col("_start") + F.col("_copy") * F.col("size")) * 2 + F.col("size"))
+        # whole-number division, as a rounded quotient could cross a cut
+        shard = F.least(F.expr(f"cast(_middle AS decimal(38,0)) * {n_shards} div cast({max(1, 2 * base)} AS decimal(38,0))").cast("int"), F.lit(n_shards - 1))
+        return rows.select(*order, "_range", shard.alias("shard"), (F.col("_row") + F.col("_copy")).alias("_row"))
+
+    # a shard's rows follow each other, so slots count from its first, which is in the range that its cut is in, or the next range's first
+    starts = [0] * n_shards
+    if sums:
+        bases = [b for _, b, _ in sums]
+        cut_in = {k: bisect_right(bases, k * base // n_shards) - 1 for k in range(1, n_shards)}
+        some = entries.where(F.col("_range").isin([sums[i][0] for i in sorted(set(cut_in.values()))]))
+        found = {(r["_range"], r["shard"]): r["n"] for r in rows_of(some).groupBy("_range", "shard").agg(F.min("_row").alias("n")).collect()}
+        for k, i in cut_in.items():
+            starts[k] = found.get((sums[i][0], k), sums[i + 1][2] if i + 1 < len(sums) else first_row)
+    slot = F.col("_row") - F.get(F.array(*(F.lit(x).cast("long") for x in starts)), F.col("shard"))
+    return rows_of(entries).select(F.col("_key").alias(key), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

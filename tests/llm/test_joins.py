@@ -76,7 +76,7 @@ def test_components_equal_brute_force(spark, monkeypatch, seed):
 @pytest.mark.parametrize("rounds,most_hot", [(0, 3), (1, 3), (2, 10**6)])
 def test_a_passage_in_every_text(spark, monkeypatch, rounds, most_hot):
     # every token of the passage is hot; with small cells each way to spread it is taken
-    for name, value in (("FREQUENT", 3), ("CROWD", 2), ("BLOCK_TOKENS", 100), ("STAR_ROUNDS", rounds), ("CELL", 2), ("CELL_TOKENS", 100), ("MAX_FREQUENT", 20)):
+    for name, value in (("FREQUENT", 3), ("CROWD", 2), ("BLOCK_TOKENS", 100), ("STAR_ROUNDS", rounds), ("CELL", 2), ("SMALL_CELL", 50), ("FEW_CELLS", 2), ("CELL_TOKENS", 100), ("MAX_FREQUENT", 20)):
         monkeypatch.setattr(jaccard_join, name, value)
     monkeypatch.setattr(lookup, "HOT_ROWS", 2)
     monkeypatch.setattr(lookup, "MOST_HOT", most_hot)

@@ -333,6 +333,47 @@ def test_sparse_weights_are_the_weights():
     assert len(model.weights) < 1000 and np.allclose(model.logits(at, count), model.vector(at, count) @ full[at])
 
 
+def test_languages_equal_brute_force(spark):
+    rng = random.Random(3)
+    stock = {"de": "der die das und nicht ein Haus", "en": "the of and not a house is", "fr": "le la et une maison pas des"}
+    rows = [(i, " ".join(rng.choice(stock[lang].split()) for _ in range(rng.randrange(3, 40))), lang) for i, lang in enumerate(sorted(stock) * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs, F.col("doc_id") % 4 != 0)
+    learnt = [t for i, t, _ in rows if i % 4]
+    df = {}
+    for t in learnt:
+        for g in brute_grams(t):
+            df[g] = df.get(g, 0) + 1
+    for r in language_id.identify(docs, model).collect():
+        v = {g: (1 + np.log(n)) * (np.log((1 + len(learnt)) / (1 + df.get(g, 0))) + 1) for g, n in brute_grams(r.text).items()}
+        size = np.sqrt(sum(x * x for x in v.values()))
+        z = [(sum(x / size * model.weights[model.place[g]][k] for g, x in v.items()) + model.bias[k]) / model.temperature for k in range(3)]
+        p = np.exp(z) / np.exp(z).sum()
+        assert r.language.lang == model.languages[int(np.argmax(p))] and abs(r.language.score - p.max()) < 1e-9
+        assert r.language.lang == r.lang
+
+
+def test_ftrl_is_the_published_update():
+    rng = np.random.default_rng(6)
+    learner, z, n = language_id.Ftrl(4, 2), np.zeros((4, 2)), np.zeros((4, 2))
+
+    def weight(i, k):
+        if abs(z[i, k]) <= language_id.L1:
+            return 0.0
+        return -(z[i, k] - np.sign(z[i, k]) * language_id.L1) / ((language_id.BETA + np.sqrt(n[i, k])) / language_id.ALPHA + language_id.L2)
+
+    for _ in range(50):
+        at, g = np.sort(rng.choice(4, 2, replace=False)), rng.normal(0, 0.01, (2, 2))
+        learner.update(at, learner.weights(at), g)
+        for j, i in enumerate(at):
+            for k in range(2):
+                w, x = weight(i, k), g[j, k]
+                z[i, k] += x - (np.sqrt(n[i, k] + x * x) - np.sqrt(n[i, k])) / language_id.ALPHA * w
+                n[i, k] += x * x
+        want = np.array([[weight(i, k) for k in range(2)] for i in range(4)])
+        assert np.allclose(learner.weights(), want)
+
+
 def test_temperature_fits():
     rng = np.random.default_rng(0)
     z = rng.normal(0, 1, (4000, 3))

@@ -57,9 +57,10 @@ STAR_ROUNDS = 3
 #: Components that crowd a token, and tokens of a set that are listed to tell where two sets meet first.
 CROWD = 32
 MOST_LISTED = 256
-#: Sets, or components, of a crowded token that meet in one cell of its grid; tokens of either side of a hub that meet likewise.
+#: Sets, or components, of a crowded token that meet in one cell of its grid.
 CELL = 512
-CELL_TOKENS = 500_000
+#: Tokens of either side of a hub that meet in one cell: as few as the first while that makes no more than so many cells, never more than the last.
+SMALL_CELL, FEW_CELLS, CELL_TOKENS = 25_000, 16, 500_000
 #: Bits of the filter over the sets that have candidates: at most 4 MB, sent to executors.
 MAX_FILTER_BITS = 1 << 25
 
@@ -352,12 +353,12 @@ def _compare_block(block: _Block, spokes: list[dict], percent: int, out: tuple[l
 def _links(members: DataFrame, spokes: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(a, b): links between members and spokes (hub, sid, n) of the same hub.
 
-    A hub's members and spokes meet in cells: where either are more than CELL_TOKENS
-    tokens, they are dealt over as many cells, and each cell of one side meets each of
-    the other on its own.
+    A hub's members and spokes meet in cells: where either are many tokens, they are
+    dealt over several, and each cell of one side meets each of the other on its own.
     """
     every = members.select("hub", "sid", "n", F.lit(True).alias("member")).unionByName(spokes.select("hub", "sid", "n", F.lit(False).alias("member")))
-    cells = lambda own: F.greatest(F.lit(1), F.ceil(F.sum(F.when(own, F.col("n")).otherwise(0)) / CELL_TOKENS)).cast("int")
+    tokens = lambda own: F.sum(F.when(own, F.col("n")).otherwise(0))
+    cells = lambda own: F.greatest(F.lit(1), F.least(F.lit(FEW_CELLS), F.ceil(tokens(own) / SMALL_CELL)), F.ceil(tokens(own) / CELL_TOKENS)).cast("int")
     hubs = every.groupBy("hub").agg(cells(F.col("member")).alias("m_cells"), cells(~F.col("member")).alias("s_cells"), F.count("*").alias("rows"))
     sums = hubs.agg(F.sum("rows").alias("rows"), F.max(F.greatest("m_cells", "s_cells")).alias("cells")).first()
     if (sums.cells or 1) > 1:

@@ -60,7 +60,7 @@ MOST_LISTED = 256
 #: Sets, or components, of a crowded token that meet in one cell of its grid.
 CELL = 512
 #: Tokens of either side of a hub that meet in one cell: as few as the first while that makes no more than so many cells, never more than the last.
-SMALL_CELL, FEW_CELLS, CELL_TOKENS = 25_000, 16, 500_000
+SMALL_CELL, FEW_CELLS, CELL_TOKENS = 10_000, 32, 500_000
 #: Bits of the filter over the sets that have candidates: at most 4 MB, sent to executors.
 MAX_FILTER_BITS = 1 << 25
 

@@ -11,6 +11,7 @@ from pagelayout.operators import blocks, decode, images, letters, lines, reflow,
 from pagelayout.schema import layout_classes
 from pagelayout.sources import analyser, fixtures, remote
 from pagelayout.sources.fixtures import PAGE_H, PAGE_W, table
+from pagelayout.sources.word_pages import word_pages
 
 QUERIES = {}
 ZOOM = 1.5
@@ -363,7 +364,7 @@ def g19_line_heights(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def g20_place_words(spark: SparkSession, sf: str) -> DataFrame:
-    return reflow.place_words(placed_words(spark, sf), ZOOM, 10, PAGE_W, 10, 5)
+    return reflow.place_pages(word_pages(spark, sf), lambda page: page | {"above": page["y2"] - page["y1"], "bl": page["word_id"] % 4}, ZOOM, 10, PAGE_W, 10, 5)
 
 
 # letters

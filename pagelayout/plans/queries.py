@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagelayout.functions import geometry as g
 from pagelayout.functions.geometry import BOX, Box
+from pagelayout.functions.pages import Columns, Lists
 from pagelayout.operators import blocks, decode, images, letters, lines, reflow, skew, text
 from pagelayout.schema import layout_classes
 from pagelayout.sources import analyser, fixtures, remote
@@ -345,9 +347,16 @@ def packed_words(spark: SparkSession, sf: str) -> DataFrame:
     return rows.join(paras, ["page_id", "line"]).select("page_id", "line", "word_id", *BOX, "para_start", (F.col("word_id") % 17 == 0).alias("ends_hyphen"), cuts.alias("cuts"))
 
 
+def _letters(page: Columns) -> Columns:
+    """As `packed_words`, for one page's columns."""
+    counts = np.maximum(0, page["x2"] - page["x1"] - 8) // 10 + 1
+    ends = np.append([0], np.cumsum(counts))
+    return page | {"ends_hyphen": page["word_id"] % 17 == 0, "cuts": Lists(8 + 10 * (np.arange(ends[-1]) - np.repeat(ends[:-1], counts)), ends)}
+
+
 @query
 def g18_pack_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return reflow.pack_lines(packed_words(spark, sf), ZOOM, 640)
+    return reflow.pack_pages(word_pages(spark, sf), _letters, ZOOM, 640)
 
 
 def placed_words(spark: SparkSession, sf: str) -> DataFrame:

@@ -53,3 +53,15 @@ def test_words_placed_in_one_pass_equal_the_steps(spark, odd):
         found = queries.g20_place_words(spark, sf)
         assert found.columns == steps.columns and found.count()
         assert rows(found.where("page_id NOT BETWEEN 8000 AND 8999")) == rows(steps)
+
+
+def test_packing_lines_exchanges_no_row_a_word(spark):
+    assert exchanges(queries.g18_pack_lines(spark, SF)) == 2
+
+
+def test_lines_packed_in_one_pass_equal_the_steps(spark, odd):
+    for sf in (SF, odd):
+        steps = reflow.pack_lines(queries.packed_words(spark, sf), queries.ZOOM, 640).where("page_id NOT BETWEEN 8000 AND 8999")
+        found = queries.g18_pack_lines(spark, sf)
+        assert found.columns == steps.columns and found.count()
+        assert rows(found.where("page_id NOT BETWEEN 8000 AND 8999")) == rows(steps)

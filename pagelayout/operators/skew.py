@@ -69,10 +69,10 @@ def region_angles(cells: DataFrame, key: str, d: int, s_range: int, d_second: in
     return df.select(key, F.when((F.col("v_tv") < least_tv) & (F.col("h_tv") < least_tv), F.lit(None)).otherwise(angle).alias("angle"))
 
 
-def sampled_regions(boxes: DataFrame, key: str, page_w: int, page_h: int, size: int = 150, most: int = 20, tries: int = 200, seed: int = 0) -> DataFrame:
+def sampled_regions(boxes: DataFrame, key: str, page_w: int, page_h: int, size: int = 150, most: int = 20, tries: int = 200, seed: int = 0, rank: tuple[str, ...] = ("x2", "y2")) -> DataFrame:
     """Up to `most` square regions a page, at places that a seeded hash picks in its boxes.
 
-    A box smaller than `size` on a side is taken whole if it is over 50 on each; regions stay on the page.
+    Boxes with the same top left corner have the same hash; `rank` orders them. A box smaller than `size` on a side is taken whole if it is over 50 on each; regions stay on the page.
     """
     rows = boxes.withColumns({"w": F.col("x2") - F.col("x1"), "h": F.col("y2") - F.col("y1")}).where("w > 50 AND h > 50")
     rows = rows.withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(tries))))
@@ -83,7 +83,7 @@ def sampled_regions(boxes: DataFrame, key: str, page_w: int, page_h: int, size:
     x = F.when(small, F.col("x1")).otherwise(F.greatest(F.lit(0), F.least(F.col("x1") + hashed(0, F.col("w") - size + 1), F.lit(page_w - size))))
     y = F.when(small, F.col("y1")).otherwise(F.greatest(F.lit(0), F.least(F.col("y1") + hashed(1, F.col("h") - size + 1), F.lit(page_h - size))))
     rows = rows.where(~small | (F.col("attempt") == 1)).withColumns({"x": x, "y": y})
-    order = F.row_number().over(Window.partitionBy(key).orderBy(digest(2), "x1", "y1", "attempt"))
+    order = F.row_number().over(Window.partitionBy(key).orderBy(digest(2), "x1", "y1", "attempt", *rank))
     return rows.withColumn("region", order).where(F.col("region") <= most).select(key, "region", F.col("x").alias("x1"), F.col("y").alias("y1"), F.when(small, F.col("x2")).otherwise(F.col("x") + size).alias("x2"), F.when(small, F.col("y2")).otherwise(F.col("y") + size).alias("y2"))
 
 

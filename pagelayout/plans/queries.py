@@ -572,7 +572,7 @@ def i5_region_angles(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def i6_sampled_regions(spark: SparkSession, sf: str) -> DataFrame:
-    return skew.sampled_regions(fixtures.labelled(spark, sf).where("label = 'plain text'"), "page_id", PAGE_W, PAGE_H)
+    return skew.sampled_regions(fixtures.labelled(spark, sf).where("label = 'plain text'"), "page_id", PAGE_W, PAGE_H, rank=("det_id",))
 
 
 @query

@@ -146,6 +146,17 @@ def test_sampled_regions_are_the_same_again(spark):
     assert all(0 <= r[2] < r[4] <= 600 for r in a)
 
 
+def test_sampled_regions_of_boxes_with_one_corner_are_ordered(spark):
+    rows = [(1, 1, 0, 0, 400, 300), (1, 2, 0, 0, 300, 400), (1, 3, 0, 0, 120, 90)]
+    found = {}
+    for rank in (None, ("det_id",)):
+        for name, own in (("as is", rows), ("reversed", rows[::-1])):
+            boxes = spark.createDataFrame(own, "page_id long, det_id int, x1 int, y1 int, x2 int, y2 int").coalesce(1)
+            found[rank, name] = sorted(map(tuple, skew.sampled_regions(boxes, "page_id", 600, 600, tries=9, **({"rank": rank} if rank else {})).collect()))
+        assert found[rank, "as is"] == found[rank, "reversed"] and len(found[rank, "as is"]) == 19
+    assert found[None, "as is"] != found[("det_id",), "as is"]
+
+
 def test_lines_in_one_pass_equal_the_steps(spark):
     from pagelayout.sources import fixtures
 
